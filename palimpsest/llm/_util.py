@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Bits of a bit set over hashes; its size does not depend on the number of rows.
+BITS = 1 << 26
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -32,3 +37,21 @@ def fresh(taken: list[str], *wanted: str) -> list[str]:
         used.add(name.lower())
         out.append(name)
     return out
+
+
+def bit_set(df: DataFrame, column: str) -> np.ndarray:
+    """BITS bits, of which those that the hashes in ``column`` fall on are set.
+
+    Gathered as words of 64 bits: 2**20 of them at most, however many rows there are.
+    """
+    bit = F.pmod(F.col(column), F.lit(BITS))
+    words = df.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toPandas()
+    out = np.zeros(BITS // 64, np.int64)
+    out[words["at"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return out.view(np.uint64)
+
+
+def in_bit_set(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """For each unsigned hash whether its bit is set; true for all that were put in, and some others."""
+    at = hashes & np.uint64(BITS - 1)
+    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1

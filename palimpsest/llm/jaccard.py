@@ -27,12 +27,12 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm._graph import components
 from palimpsest.llm._kernel import U64, distinct_by_row, list_array, mix, row_slices, shingles, space_separators, words
-from palimpsest.llm._util import settle
+from palimpsest.llm._util import bit_set, in_bit_set, settle
 
 #: Entries of the list of common shingles, at most, and how often one must occur among CHUNK to be put forward.
 COMMON, LEAST_COMMON, CHUNK = 1 << 17, 3, 1 << 22
-#: 64-bit words of a signature; bits of the filter of candidate ids; documents of a region taken at once.
-SIGNATURE, FILTER_BITS, TOGETHER = 16, 1 << 24, 2048
+#: 64-bit words of a signature; documents of a region taken at once.
+SIGNATURE, TOGETHER = 16, 2048
 #: Candidates for each document of a region in the rounds after the first; None: all.
 CANDIDATES = (16, 128, None)
 
@@ -114,25 +114,14 @@ def _described(rows: DataFrame, order, k: int, num: int, den: int) -> DataFrame:
     return rows.mapInArrow(describe, "doc_id long, n long, a long, b long, cells array<long>")
 
 
-def _id_filter(ids: DataFrame) -> np.ndarray:
-    """A bit set of FILTER_BITS over the hashed ids: of bounded size, whatever their number."""
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    parts = ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    got = parts.toPandas()
-    out[got["at"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
-    return out.view(U64)
-
-
 def _candidate_sets(rows: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """doc_id, n, the full set and its signature, of the documents named in ``ids``."""
-    bits = rows.sparkSession.sparkContext.broadcast(_id_filter(ids))
-    hashed = rows.where("doc_id is not null").withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)))
+    bits = rows.sparkSession.sparkContext.broadcast(bit_set(ids.select(F.xxhash64("doc_id").alias("hash")), "hash"))
+    hashed = rows.where("doc_id is not null").withColumn("hash", F.xxhash64("doc_id"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bit = batch.column(2).to_numpy()
-            there = (bits.value[bit >> 6] >> (bit & 63).astype(U64)) & U64(1) == 1
+            there = in_bit_set(bits.value, batch.column(2).to_numpy().view(U64))
             for part in row_slices(batch.filter(pa.array(there)), 1):
                 values, offsets = _sets(part, k)
                 size = np.diff(offsets)

@@ -1,8 +1,9 @@
 """Fuzzy repeated passages by collinear chaining of shared k-mers of words.
 
 Seeds are k-mers of words, thinned to the least hash of every ``window`` successive ones, so that two
-texts which share window + k - 1 words in a row share a seed. Each seed is joined with its first
-occurrence in the corpus. The matches of a document with one earlier document are chained in order,
+texts which share window + k - 1 words in a row share a seed. A seed that a text repeats is numbered there,
+so that texts of one repeated line match in order. Each seed is joined with its first occurrence in
+the corpus. The matches of a document with one earlier document are chained in order,
 with a cost for gaps, by dynamic programming over a Fenwick tree of prefix maxima; chains are then
 aligned word by word, extended at both ends, and kept if long and alike enough.
 """
@@ -10,19 +11,19 @@ aligned word by word, extended at both ends, and kept if long and alike enough.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm._kernel import U64, list_array, mix, row_slices, shingles, space_separators, words
-from palimpsest.llm._util import settle
+from palimpsest.llm._util import bit_set, in_bit_set, settle
 
 #: Words read beyond both ends of a chain for its extension.
 MARGIN = 64
-_FILTER_BITS = 1 << 24
 
 
 def minimizers(values: np.ndarray, window: int) -> np.ndarray:
@@ -35,60 +36,61 @@ def minimizers(values: np.ndarray, window: int) -> np.ndarray:
 
 
 class Fenwick:
-    """Prefix maxima over places 0..n-1; each entry is (score, index of the match)."""
+    """Prefix maxima over places 0..n-1; each entry is a score and the index of a match."""
 
     def __init__(self, n: int):
-        self._at = [(float("-inf"), -1)] * (n + 1)
+        self._score, self._match = [float("-inf")] * (n + 1), [-1] * (n + 1)
 
-    def put(self, place: int, entry: tuple[float, int]) -> None:
+    def put(self, place: int, score: float, match: int) -> None:
         place += 1
-        at = self._at
-        while place < len(at):
-            if entry[0] > at[place][0]:
-                at[place] = entry
+        while place < len(self._score):
+            if score > self._score[place]:
+                self._score[place], self._match[place] = score, match
             place += place & -place
 
     def most(self, before: int) -> tuple[float, int]:
-        """The best entry at a place below ``before``."""
-        best = (float("-inf"), -1)
+        """The best score at a place below ``before``, and its match."""
+        best, match = float("-inf"), -1
         while before > 0:
-            if self._at[before][0] > best[0]:
-                best = self._at[before]
+            if self._score[before] > best:
+                best, match = self._score[before], self._match[before]
             before -= before & -before
-        return best
+        return best, match
 
 
 def chain(matches: list[tuple[int, int]], k: int, gap_cost: float) -> list[list[tuple[int, int]]]:
-    """Disjoint chains of matches that ascend on both sides, best first.
+    """Chains of two matches or more that ascend on both sides, best first.
 
-    A match is worth k and a gap costs ``gap_cost`` for each word on either side. Every chain ends
-    where the best score is, and starts where it last began afresh.
+    A match is worth k and a gap costs ``gap_cost`` for each word on either side. Chains are read off
+    one table of scores, from the best end on; each stops where an earlier one covers the document.
     """
     matches = sorted(set(matches))
-    out = []
-    while matches:
-        places = {j: r for r, j in enumerate(sorted({j for _, j in matches}))}
-        tree, score, back = Fenwick(len(places)), [0.0] * len(matches), [-1] * len(matches)
-        waiting: list[int] = []
-        last = None
-        for m, (i, j) in enumerate(matches):
-            if i != last:
-                for w in waiting:
-                    tree.put(places[matches[w][1]], (score[w] + gap_cost * sum(matches[w]), w))
-                waiting, last = [], i
-            before, from_ = tree.most(places[j])
-            gain = before - gap_cost * (i + j)
-            score[m], back[m] = (k + gain, from_) if gain > 0 else (float(k), -1)
-            waiting.append(m)
-        end = max(range(len(matches)), key=score.__getitem__)
+    places = {j: r for r, j in enumerate(sorted({j for _, j in matches}))}
+    tree, score, back = Fenwick(len(places)), [0.0] * len(matches), [-1] * len(matches)
+    waiting: list[int] = []
+    last = None
+    for m, (i, j) in enumerate(matches):
+        if i != last:
+            for w in waiting:
+                tree.put(places[matches[w][1]], score[w] + gap_cost * sum(matches[w]), w)
+            waiting, last = [], i
+        before, from_ = tree.most(places[j])
+        gain = before - gap_cost * (i + j)
+        score[m], back[m] = (k + gain, from_) if gain > 0 else (float(k), -1)
+        waiting.append(m)
+    out, covered = [], [False] * len(matches)
+    lowest = [i for i, _ in matches]
+    for end in sorted(range(len(matches)), key=lambda m: -score[m]):
         path = []
-        while end >= 0:
-            path.append(matches[end])
+        while end >= 0 and not covered[end]:
+            path.append(end)
             end = back[end]
-        path.reverse()
-        out.append(path)
-        (i0, j0), (i1, j1) = path[0], path[-1]
-        matches = [(i, j) for i, j in matches if not i0 <= i <= i1]
+        if len(path) >= 2:
+            for m in range(bisect_left(lowest, matches[path[-1]][0]), path[0] + 1):
+                covered[m] = True
+            out.append([matches[m] for m in reversed(path)])
+        elif path:
+            covered[path[0]] = True
     return out
 
 
@@ -138,11 +140,23 @@ def align(x: np.ndarray, y: np.ndarray, path: list[tuple[int, int]], k: int) ->
     return i0 - ahead, i + behind, j0 - ahead, j + behind, matched + last
 
 
+def _nth(row: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """How often each value has stood in its row before."""
+    order = np.lexsort((values, row))
+    r, v = row[order], values[order]
+    new = np.ones(len(v), bool)
+    new[1:] = (r[1:] != r[:-1]) | (v[1:] != v[:-1])
+    head = np.flatnonzero(new)
+    out = np.empty(len(v), U64)
+    out[order] = np.arange(len(v)) - np.repeat(head, np.diff(np.concatenate((head, [len(v)]))))
+    return out
+
+
 def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
 
 
-def _seeds(rows: DataFrame, k: int, window: int, least: int) -> DataFrame:
+def _seeds(rows: DataFrame, k: int, window: int, least: int, recurring=None) -> DataFrame:
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in row_slices(batch, 1):
@@ -153,7 +167,12 @@ def _seeds(rows: DataFrame, k: int, window: int, least: int) -> DataFrame:
                 many = np.array([len(p) for p in places])
                 at = np.concatenate(places) if places else np.zeros(0, np.int64)
                 flat = values[at + np.repeat(offsets[:-1], many)] if len(at) else np.zeros(0, U64)
-                ids = part.column(0).take(pa.array(np.repeat(np.arange(len(many)), many)))
+                row = np.repeat(np.arange(len(many)), many)
+                flat = mix(flat + _nth(row, flat) * U64(0x9E3779B97F4A7C15))
+                if recurring:
+                    keep = in_bit_set(recurring.value, flat)
+                    at, flat, row = at[keep], flat[keep], row[keep]
+                ids = part.column(0).take(pa.array(row))
                 if len(at):
                     yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), ids, pa.array(at.astype(np.int32))], ["s", "doc_id", "i"])
 
@@ -173,38 +192,38 @@ def _sizes(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(sizes, "doc_id long, digest binary, n long")
 
 
-def _id_filter(ids: DataFrame) -> np.ndarray:
-    """A bit set over the hashed ids, of bounded size whatever their number."""
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(_FILTER_BITS))
-    got = ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toPandas()
-    out = np.zeros(_FILTER_BITS // 64, np.int64)
-    out[got["at"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
-    return out.view(U64)
-
-
 def _pieces(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """For each wanted (doc_id, pair, lo, hi): the words' 32-bit hashes from lo to hi."""
-    bits = rows.sparkSession.sparkContext.broadcast(_id_filter(wanted.select("doc_id")))
+    bits = rows.sparkSession.sparkContext.broadcast(bit_set(wanted.select(F.xxhash64("doc_id").alias("hash")), "hash"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bit = batch.column(2).to_numpy()
-            there = (bits.value[bit >> 6] >> (bit & 63).astype(U64)) & U64(1) == 1
+            there = in_bit_set(bits.value, batch.column(2).to_numpy().view(U64))
             for part in row_slices(batch.filter(pa.array(there)), 1):
                 w = words(part.column(1), space_separators())
                 low = mix(w.hash).astype(np.uint32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([low[a:b].tobytes() for a, b in zip(w.first[:-1], w.first[1:], strict=True)], pa.binary())], ["doc_id", "w"])
 
-    read_ = rows.withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(_FILTER_BITS))).mapInArrow(read, "doc_id long, w binary")
+    read_ = rows.withColumn("hash", F.xxhash64("doc_id")).mapInArrow(read, "doc_id long, w binary")
     return wanted.join(read_, "doc_id").select("x", "y", "c", F.expr("substring(w, lo * 4 + 1, (hi - lo) * 4)").alias("w"), "lo")
 
 
+def _long_enough(passages: DataFrame, min_words: int) -> DataFrame:
+    """Passages that cover ``min_words`` words of their document together with those that they meet."""
+    before = Window.partitionBy("doc_id").orderBy("start_word", "end_word", "source_doc_id", "source_start_word")
+    reach = F.max("end_word").over(before.rowsBetween(Window.unboundedPreceding, -1))
+    islands = passages.withColumn("new", F.when(F.col("start_word") <= reach, 0).otherwise(1)).withColumn("island", F.sum("new").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = Window.partitionBy("doc_id", "island")
+    return islands.withColumn("span", F.max("end_word").over(whole) - F.min("start_word").over(whole)).where(F.col("span") >= min_words).drop("new", "island", "span")
+
+
 def repeated_passages(
     df: DataFrame, *, k: int = 6, window: int = 10, min_words: int = 50, identity: float = 0.8, gap_cost: float = 0.1, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Passages of ``min_words`` words or more that occur, exactly or nearly, in an earlier document.
 
-    One row per passage of a document and its source: doc_id, start_word, end_word, source_doc_id,
+    A passage may be pieced together from sources that hold half of ``min_words`` each or more.
+    One row per part of a passage and its source: doc_id, start_word, end_word, source_doc_id,
     source_start_word, source_end_word, matched_words, identity (matched words by the longer side's
     length) and exact (the whole text is a copy of the source's). Documents are ordered by id. A
     text's copies refer to the first of them and are not chained again.
@@ -219,9 +238,11 @@ def repeated_passages(
     first = sizes.groupBy("digest").agg(F.min("doc_id").alias("source"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     copies = settle(sizes.join(first, "digest").where("doc_id <> source").select("doc_id", "source", "n"))
 
-    seeds = _seeds(rows, k, window, min_words)
-    firsts = seeds.groupBy("s").agg(F.min(F.struct("doc_id", "i")).alias("f"), F.max("doc_id").alias("last")).where("last > f.doc_id").select("s", F.col("f.doc_id").alias("y"), F.col("f.i").alias("j"))
-    shared = seeds.join(firsts, "s").where("doc_id > y").select(F.col("doc_id").alias("x"), "y", "i", "j")
+    firsts = _seeds(rows, k, window, min_words).groupBy("s").agg(F.min(F.struct("doc_id", "i")).alias("f"), F.max("doc_id").alias("last")).where("last > f.doc_id").select("s", F.col("f.doc_id").alias("y"), F.col("f.i").alias("j"))
+    firsts = settle(firsts)
+    # Most seeds that occur once are left out before the shuffle, by a bit set of those that recur.
+    recurring = rows.sparkSession.sparkContext.broadcast(bit_set(firsts, "s"))
+    shared = _seeds(rows, k, window, min_words, recurring).join(firsts, "s").where("doc_id > y").select(F.col("doc_id").alias("x"), "y", "i", "j")
     shared = shared.join(copies.select(F.col("doc_id").alias("x")), "x", "left_anti")
     # A document has at most one match for each of its own seeds, so that a group is no longer than the document.
     grouped = shared.groupBy("x", "y").agg(F.collect_list(F.struct("i", "j")).alias("m")).where(F.size("m") >= 2)
@@ -231,8 +252,7 @@ def repeated_passages(
             out = []
             for x, y, m in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "m")), strict=True):
                 for c, path in enumerate(chain([(p["i"], p["j"]) for p in m], k, gap_cost)):
-                    if len(path) >= 2:
-                        out.append((x, y, c, [p for p, _ in path], [q for _, q in path]))
+                    out.append((x, y, c, [p for p, _ in path], [q for _, q in path]))
             if out:
                 types = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), types, strict=True)], ["x", "y", "c", "i", "j"])
@@ -246,6 +266,9 @@ def repeated_passages(
     left, right = (_pieces(rows, wanted(*side)).withColumnRenamed("w", f"w_{side[0]}").withColumnRenamed("lo", f"lo_{side[0]}") for side in (("x", "i"), ("y", "j")))
     both = chains.join(left, ["x", "y", "c"]).join(right, ["x", "y", "c"]).select("x", "y", "i", "j", "w_x", "lo_x", "w_y", "lo_y")
 
+    # A passage may be pieced together from several sources: a part of one is half a passage at least.
+    least = max(k, min_words // 2)
+
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -254,13 +277,13 @@ def repeated_passages(
                 s, e, t, f, n = align(a, b, [(p - lx, q - ly) for p, q in zip(i, j, strict=True)], k)
                 e, f = min(e, len(a)), min(f, len(b))
                 alike = n / max(e - s, f - t, 1)
-                if e - s >= min_words and alike >= identity:
+                if e - s >= least and alike >= identity:
                     out.append((x, s + lx, e + lx, y, t + ly, f + ly, n, min(alike, 1.0), False))
             if out:
                 types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), types, strict=True)], [c.split()[0] for c in SCHEMA.split(", ")])
 
-    fuzzy = both.mapInArrow(aligned, SCHEMA).distinct()
+    fuzzy = _long_enough(both.mapInArrow(aligned, SCHEMA).distinct(), min_words)
     n = F.col("n").cast("int")
     whole = copies.where(F.col("n") >= min_words).select(
         "doc_id", F.lit(0).alias("start_word"), n.alias("end_word"), F.col("source").alias("source_doc_id"), F.lit(0).alias("source_start_word"), n.alias("source_end_word"), n.alias("matched_words"), F.lit(1.0).alias("identity"), F.lit(True).alias("exact")
