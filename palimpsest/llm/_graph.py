@@ -38,7 +38,7 @@ def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
     edges = settle(edges)
     before = _digest(edges)
     while before[0]:
-        edges = settle(_star(_star(edges, large=True), large=False))
+        edges = settle(_star(_star(edges, large=True), large=False).coalesce(1 + before[0] // 100_000))
         after = _digest(edges)
         if after == before:
             break

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,12 +43,20 @@ def fresh(taken: list[str], *wanted: str) -> list[str]:
 def bit_set(df: DataFrame, column: str) -> np.ndarray:
     """BITS bits, of which those that the hashes in ``column`` fall on are set.
 
-    Gathered as words of 64 bits: 2**20 of them at most, however many rows there are.
+    Executors put them together in BITS / 65536 pieces of 8 kB, which are all that the driver gathers,
+    however many rows there are.
     """
     bit = F.pmod(F.col(column), F.lit(BITS))
-    words = df.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toPandas()
+    words = df.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
+
+    def piece(key: tuple, rows: pa.Table) -> pa.Table:
+        out = np.zeros(1024, np.int64)
+        out[rows["at"].to_numpy() & 1023] = rows["bits"].to_numpy()
+        return pa.table({"piece": [key[0].as_py()], "data": pa.array([out.tobytes()], pa.binary())})
+
     out = np.zeros(BITS // 64, np.int64)
-    out[words["at"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    for row in words.withColumn("piece", F.shiftright("at", 10)).groupBy("piece").applyInArrow(piece, "piece long, data binary").collect():
+        out[row.piece * 1024 : row.piece * 1024 + 1024] = np.frombuffer(row.data, np.int64)
     return out.view(np.uint64)
 
 
