@@ -64,3 +64,12 @@ def in_bit_set(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """For each unsigned hash whether its bit is set; true for all that were put in, and some others."""
     at = hashes & np.uint64(BITS - 1)
     return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
+#: Ids that are broadcast at most; a longer list is joined by a shuffle.
+BROADCAST_IDS = 200_000
+
+
+def among(df: DataFrame, ids: DataFrame, on: list[str], how: str = "left_semi") -> DataFrame:
+    """Semi or anti join with a settled list of ids, which is counted before it is broadcast."""
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)

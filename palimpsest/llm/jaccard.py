@@ -5,7 +5,8 @@ pivot is 1 - 1/|X| if X has it and 1 otherwise. All pivots within a document are
 Voronoi cell that it belongs to is that of the first of them in a fixed global order, common shingles
 last. Two documents within distance 1 - t share t of the larger one's shingles at least, so by the
 triangle inequality a document may stray into the cells of its first |X| - ceil(t |X|) + 1 pivots
-and no further: it is replicated to those. Any two linked documents meet in a region, then.
+and no further: it is replicated to those. Any two linked documents meet in a region, then, and with
+m - 1 pivots more they meet in m regions; a document in fewer shared ones has no link.
 
 Regions are joined recursively. In each, one document is the pivot of the next level: its distance
 to all others is taken, which links the whole group where a region is a group of copies. A region
@@ -27,10 +28,12 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm._graph import components
 from palimpsest.llm._kernel import U64, distinct_by_row, list_array, mix, row_slices, shingles, space_separators, words
-from palimpsest.llm._util import bit_set, in_bit_set, settle
+from palimpsest.llm._util import BROADCAST_IDS, among, bit_set, in_bit_set, settle
 
 #: Entries of the list of common shingles, at most, and how often one must occur among CHUNK to be put forward.
 COMMON, LEAST_COMMON, CHUNK = 1 << 17, 3, 1 << 22
+#: Regions in which linked documents meet: this share of their shingles, or this number if that is more.
+MEETINGS_SHARE, MEETINGS = 16, 4
 #: 64-bit words of a signature; documents of a region taken at once.
 SIGNATURE, TOGETHER = 16, 2048
 #: Candidates for each document of a region in the rounds after the first; None: all.
@@ -92,26 +95,56 @@ class Order:
         return np.concatenate((rare, late[: n - len(rare)]))
 
 
-def _described(rows: DataFrame, order, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, a 128-bit hash a, b of the set, and its first shingles, for each document that has any."""
+def _part(size, num: int, den: int):
+    """The least number of shingles of a set of ``size`` that a linked one must have too."""
+    return (size * num + den - 1) // den
+
+
+def _meetings(size, num: int, den: int):
+    return np.minimum(_part(size, num, den), np.maximum(MEETINGS, size // MEETINGS_SHARE))
+
+
+def _described(rows: DataFrame, k: int) -> DataFrame:
+    """doc_id, n and a 128-bit hash a, b of the set of each document."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in row_slices(batch, 1):
+                values, offsets = _sets(part, k)
+                a, b = _digests(values, offsets)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets)), pa.array(a), pa.array(b)], ["doc_id", "n", "a", "b"])
+
+    return rows.mapInArrow(describe, "doc_id long, n long, a long, b long")
+
+
+def _digests(values: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    out = []
+    for hashed in (mix(values ^ U64(0x5851F42D4C957F2D)), mix(values + U64(0x14057B7EF767814F))):
+        total = np.concatenate((np.zeros(1, U64), np.cumsum(hashed, dtype=U64)))
+        out.append((total[offsets[1:]] - total[offsets[:-1]]).view(np.int64))
+    return out
+
+
+def _cells(rows: DataFrame, order, k: int, num: int, den: int, recurring=None) -> DataFrame:
+    """(cell, doc_id, n, a): each document at its pivots; with ``recurring`` at those in that bit set."""
+
+    def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranked = order.value
         for batch in batches:
             for part in row_slices(batch, 1):
                 values, offsets = _sets(part, k)
                 size = np.diff(offsets)
-                total = np.concatenate((np.zeros((2, 1), U64), np.cumsum([mix(values ^ U64(0x5851F42D4C957F2D)), mix(values + U64(0x14057B7EF767814F))], axis=1, dtype=U64)), axis=1)
-                a, b = (t[offsets[1:]] - t[offsets[:-1]] for t in total)
-                many = np.where(size > 0, size - (size * num + den - 1) // den + 1, 0)
+                many = size - _part(size, num, den) + _meetings(size, num, den)
                 heads = [ranked.first(values[offsets[i] : offsets[i + 1]], m) for i, m in enumerate(many.tolist())]
                 flat = np.concatenate(heads) if heads else np.zeros(0, U64)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(size), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), list_array(flat.view(np.int64), np.concatenate(([0], np.cumsum(many))), pa.int64())],
-                    ["doc_id", "n", "a", "b", "cells"],
-                )
+                row = np.repeat(np.arange(len(many)), many)
+                if recurring:
+                    keep = in_bit_set(recurring.value, flat)
+                    flat, row = flat[keep], row[keep]
+                a, _ = _digests(values, offsets)
+                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), part.column(0).take(pa.array(row)), pa.array(size[row]), pa.array(a[row])], ["cell", "doc_id", "n", "a"])
 
-    return rows.mapInArrow(describe, "doc_id long, n long, a long, b long, cells array<long>")
+    return rows.where("doc_id is not null").mapInArrow(replicate, "cell long, doc_id long, n long, a long")
 
 
 def _candidate_sets(rows: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -132,11 +165,13 @@ def _candidate_sets(rows: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size), list_array(values.view(np.int64), offsets, pa.int64()), pa.array([r.tobytes() for r in packed], pa.binary())], ["doc_id", "n", "items", "signature"])
 
     found = hashed.mapInArrow(read, "doc_id long, n long, items array<long>, signature binary")
-    return found.join(ids, "doc_id", "left_semi")
+    return among(found, ids, ["doc_id"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (x, y) whose sets have a Jaccard similarity of num/den or more."""
+    ids = settle(pairs.select(F.col("x").alias("doc_id")).unionByName(pairs.select(F.col("y").alias("doc_id"))).distinct())
+    sets = among(sets, ids, ["doc_id"])
     left = sets.select(F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("items").alias("ix"))
     right = sets.select(F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("items").alias("iy"))
     same = F.size(F.array_intersect("ix", "iy")).cast("long")
@@ -144,7 +179,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
 
 def _compared(members: DataFrame, num: int, den: int, most: int | None) -> DataFrame:
-    """Pairs of different classes in a region that their signatures do not rule out.
+    """Pairs of different classes in a region that their signatures do not rule out, and if there are more.
 
     A region of more than TOGETHER documents is cut into lots by size, and each two lots whose sizes
     can be similar are a group of their own.
@@ -160,7 +195,7 @@ def _compared(members: DataFrame, num: int, den: int, most: int | None) -> DataF
         ids, n, group, lot = (table[c].to_numpy() for c in ("doc_id", "n", "class", "lot"))
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
         bits = np.frombuffer(b"".join(table["signature"].to_pylist()), U64).reshape(len(ids), SIGNATURE)
-        xs, ys = [], []
+        xs, ys, more = [], [], False
         rows = np.flatnonzero(lot == i)
         cols = np.flatnonzero(lot == j)
         for a in range(0, len(rows), 64):
@@ -173,6 +208,7 @@ def _compared(members: DataFrame, num: int, den: int, most: int | None) -> DataF
             if i == j:
                 ok &= ids[r][:, None] < ids[cols][None, :]
             if most is not None and ok.sum(1).max(initial=0) > most:
+                more = True
                 near = np.argpartition(np.where(ok, apart, 1 << 30), most, axis=1)[:, :most]
                 some = np.zeros_like(ok)
                 np.put_along_axis(some, near, True, axis=1)
@@ -181,9 +217,9 @@ def _compared(members: DataFrame, num: int, den: int, most: int | None) -> DataF
             xs.append(ids[r][p])
             ys.append(ids[cols][q])
         x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (xs, ys))
-        return pa.table({"x": np.minimum(x, y), "y": np.maximum(x, y)})
+        return pa.table({"x": np.minimum(x, y), "y": np.maximum(x, y), "more": np.full(len(x), more)})
 
-    return dealt.groupBy("region", "i", "j").applyInArrow(compare, "x long, y long").distinct()
+    return dealt.groupBy("region", "i", "j").applyInArrow(compare, "x long, y long, more boolean").distinct()
 
 
 def jaccard_classes(df: DataFrame, *, k: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,20 +239,33 @@ def jaccard_classes(df: DataFrame, *, k: int = 5, threshold: tuple[int, int] = (
     rows = _texts(df, id_col, text_col)
     sc = df.sparkSession.sparkContext
     order = sc.broadcast(Order(common_shingles(rows, k)))
-    described = settle(_described(rows, order, k, num, den))
-    named = described.where("doc_id is not null and n > 0")
+    described = settle(_described(rows, k))
 
     # Equal sets are one document from here on: the one with the least id.
-    equal = named.groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"))
-    heads = named.join(equal, ["n", "a", "b"]).where("doc_id = rep").select("doc_id", "n", "a", "b", "cells").dropDuplicates(["doc_id", "a", "b"])
-    cells = heads.select(F.explode("cells").alias("cell"), "doc_id", "n")
+    equal = described.where("doc_id is not null and n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"))
+    copies = settle(described.join(equal, ["n", "a", "b"]).where("doc_id <> rep").select("doc_id", "n", "a").distinct())
+
+    few = copies.count() <= BROADCAST_IDS
+
+    def single(cells: DataFrame) -> DataFrame:
+        return cells.join(F.broadcast(copies) if few else copies, ["doc_id", "n", "a"], "left_anti")
+
+    every = _cells(rows, order, k, num, den)
+    # Copies that are too many to broadcast are taken out once only few cells are left.
+    recurring = settle((single(every) if few else every).groupBy("cell").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("cell"))
+    cells = settle(single(_cells(rows, order, k, num, den, sc.broadcast(bit_set(recurring, "cell")))).join(recurring, "cell"))
+    # The smallest partner of a document bounds the number of regions that they meet in.
+    partner = F.ceil(F.col("n") * num / den)
+    least = F.least(F.ceil(partner * num / den), F.greatest(F.lit(MEETINGS), F.floor(partner / MEETINGS_SHARE)))
+    often = cells.groupBy("doc_id", "n", "a").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= least).select("doc_id", "n", "a")
+    cells = settle(cells.join(often, ["doc_id", "n", "a"], "left_semi").select("cell", "doc_id", "n").distinct())
 
     # Regions with the same documents are one region.
     regions = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc_id", "n")).alias("p"), F.bit_xor(F.xxhash64("doc_id", "n")).alias("f"), F.bit_xor(F.xxhash64(F.lit("second"), "doc_id", "n")).alias("g")).where("c > 1")
     regions = regions.groupBy("c", "p", "f", "g").agg(F.min("cell").alias("cell")).select("cell", F.col("p.doc_id").alias("pivot"), F.col("p.n").alias("pn"))
     members = settle(cells.join(regions, "cell").select(F.col("cell").alias("region"), "doc_id", "n", "pivot", "pn"))
 
-    sets = settle(_candidate_sets(rows, members.select("doc_id").distinct(), k))
+    sets = settle(_candidate_sets(rows, settle(members.select("doc_id").distinct()), k))
     near = (F.least("n", "pn") * den >= F.greatest("n", "pn") * num) & (F.col("doc_id") != F.col("pivot"))
     links = settle(_verified(members.where(near).select(F.col("pivot").alias("x"), F.col("doc_id").alias("y")).distinct(), sets, num, den))
     classes = settle(components(links))
@@ -227,11 +276,14 @@ def jaccard_classes(df: DataFrame, *, k: int = 5, threshold: tuple[int, int] = (
         placed = open_members.join(classes.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("class", F.coalesce("component", "doc_id")).drop("component")
         split = placed.groupBy("region").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("region")
         placed = settle(placed.join(split, "region", "left_semi"))
-        pairs = settle(_compared(placed.join(signatures, "doc_id"), num, den, most))
+        compared = settle(_compared(placed.join(signatures, "doc_id"), num, den, most))
+        pairs = compared.select("x", "y").distinct()
         if pairs.isEmpty():
             break
         links = settle(links.unionByName(_verified(pairs, sets, num, den)))
         classes = settle(components(links))
+        if compared.where("more").isEmpty():
+            break
         open_members = placed.select("region", "doc_id", "n")
 
     owner = equal.join(classes.select(F.col("node").alias("rep"), "component"), "rep", "left").select("n", "a", "b", F.coalesce("component", "rep").alias("owner"))
