@@ -170,15 +170,17 @@ def _candidate_sets(rows: DataFrame, ids: DataFrame, k: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (x, y) whose sets have a Jaccard similarity of num/den or more."""
-    ids = settle(pairs.select(F.col("x").alias("doc_id")).unionByName(pairs.select(F.col("y").alias("doc_id"))).distinct())
-    sets = among(sets, ids, ["doc_id"])
-    left = sets.select(F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("items").alias("ix"))
-    right = sets.select(F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("items").alias("iy"))
+    sides = [among(sets, settle(pairs.select(F.col(s).alias("doc_id")).distinct()), ["doc_id"]) for s in ("x", "y")]
+    left = sides[0].select(F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("items").alias("ix"))
+    right = sides[1].select(F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("items").alias("iy"))
+    pairs = settle(pairs)
+    # Two longs for each of BROADCAST_IDS pairs at most are broadcast; beyond that both sides are shuffled.
+    to = F.broadcast(pairs) if pairs.count() <= BROADCAST_IDS else pairs
     same = F.size(F.array_intersect("ix", "iy")).cast("long")
-    return pairs.join(left, "x").join(right, "y").where(same * den >= (F.col("nx") + F.col("ny") - same) * num).select("x", "y").distinct()
+    return right.join(to, "y").join(left, "x").where(same * den >= (F.col("nx") + F.col("ny") - same) * num).select("x", "y").distinct()
 
 
-def _compared(members: DataFrame, num: int, den: int, most: int | None) -> DataFrame:
+def _compared(members: DataFrame, signatures: DataFrame, num: int, den: int, most: int | None) -> DataFrame:
     """Pairs of different classes in a region that their signatures do not rule out, and if there are more.
 
     A region of more than TOGETHER documents is cut into lots by size, and each two lots whose sizes
@@ -186,7 +188,7 @@ def _compared(members: DataFrame, num: int, den: int, most: int | None) -> DataF
     """
     size = members.groupBy("region").agg(F.count(F.lit(1)).alias("c"))
     lots = F.ceil(F.col("c") / TOGETHER).cast("int")
-    keyed = members.join(size, "region").withColumn("lots", lots).withColumn("lot", F.when(F.col("lots") > 1, F.pmod(F.xxhash64("doc_id", "region"), F.col("lots"))).otherwise(F.lit(0)).cast("int"))
+    keyed = members.join(size, "region").join(signatures, "doc_id").withColumn("lots", lots).withColumn("lot", F.when(F.col("lots") > 1, F.pmod(F.xxhash64("doc_id", "region"), F.col("lots"))).otherwise(F.lit(0)).cast("int"))
     dealt = keyed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).select(
         "region", F.least("lot", "other").alias("i"), F.greatest("lot", "other").alias("j"), "lot", "doc_id", "n", "class", "signature"
     )
@@ -253,12 +255,13 @@ def jaccard_classes(df: DataFrame, *, k: int = 5, threshold: tuple[int, int] = (
     every = _cells(rows, order, k, num, den)
     # Copies that are too many to broadcast are taken out once only few cells are left.
     recurring = settle((single(every) if few else every).groupBy("cell").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("cell"))
-    cells = settle(single(_cells(rows, order, k, num, den, sc.broadcast(bit_set(recurring, "cell")))).join(recurring, "cell"))
+    cells = single(_cells(rows, order, k, num, den, sc.broadcast(bit_set(recurring, "cell")))).join(recurring, "cell")
     # The smallest partner of a document bounds the number of regions that they meet in.
     partner = F.ceil(F.col("n") * num / den)
     least = F.least(F.ceil(partner * num / den), F.greatest(F.lit(MEETINGS), F.floor(partner / MEETINGS_SHARE)))
-    often = cells.groupBy("doc_id", "n", "a").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= least).select("doc_id", "n", "a")
-    cells = settle(cells.join(often, ["doc_id", "n", "a"], "left_semi").select("cell", "doc_id", "n").distinct())
+    # A document's list is no longer than its own number of pivots.
+    often = cells.groupBy("doc_id", "n").agg(F.collect_set("cell").alias("cells")).where(F.size("cells") >= least)
+    cells = settle(often.select(F.explode("cells").alias("cell"), "doc_id", "n"))
 
     # Regions with the same documents are one region.
     regions = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc_id", "n")).alias("p"), F.bit_xor(F.xxhash64("doc_id", "n")).alias("f"), F.bit_xor(F.xxhash64(F.lit("second"), "doc_id", "n")).alias("g")).where("c > 1")
@@ -276,7 +279,7 @@ def jaccard_classes(df: DataFrame, *, k: int = 5, threshold: tuple[int, int] = (
         placed = open_members.join(classes.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("class", F.coalesce("component", "doc_id")).drop("component")
         split = placed.groupBy("region").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("region")
         placed = settle(placed.join(split, "region", "left_semi"))
-        compared = settle(_compared(placed.join(signatures, "doc_id"), num, den, most))
+        compared = settle(_compared(placed, signatures, num, den, most))
         pairs = compared.select("x", "y").distinct()
         if pairs.isEmpty():
             break
