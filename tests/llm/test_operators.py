@@ -1,0 +1,268 @@
+"""Every operator against plain Python on small texts, and its cases at the edges."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from palimpsest.llm import decontamination, embedding_dedup, jaccard, licenses, line_dedup, packing, pii, secrets, substring_dedup, toxicity
+from palimpsest.llm.queries import tokenizer_path
+
+EDGES = "doc_id long, text string, k string, h string, base string, cells string, label string"
+rng = random.Random(5)
+VOCABULARY = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9))) for _ in range(3000)]
+
+
+def prose(n, seed):
+    r = random.Random(seed)
+    return " ".join(r.choice(VOCABULARY) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def edges(spark):
+    long = prose(30_000, 1)
+    rows = [(1, "a b c d e\n\nf"), (1, "a b c d e\n\nf"), (2, None), (3, ""), (None, "x y z"), (4, long), (5, long), (6, "é 😀 a@b.co 😀 " * 30), (7, " \n\n\n\n "), (8, "0" * 3000)]
+    return spark.createDataFrame([(*r, "k", "h", "b", "c", "l") for r in rows], EDGES)
+
+
+def test_edges(spark, edges):
+    n = edges.count()
+    bench = spark.createDataFrame([(1, "one two three four five"), (2, None), (None, "x")], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (4, 0), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(edges, labels)
+    whole = {
+        "secrets": secrets.scan_secrets, "pii": pii.find_pii, "toxicity": lambda d: toxicity.score_toxicity(d, model),
+        "lines": line_dedup.dedup_lines, "jaccard": jaccard.jaccard_classes, "clean": pii.sanitize, "kept": lambda d: decontamination.drop_contaminated(d, bench),
+    }
+    for name, f in whole.items():
+        assert f(edges).count() == n, name
+        assert f(edges.limit(0)).count() == 0, name
+    for f in (licenses.scan_licenses, lambda d: decontamination.find_contamination(d, bench), substring_dedup.repeated_passages, lambda d: packing.harmonic_pack(d, tokenizer_path())):
+        f(edges).collect()
+        assert f(edges.limit(0)).count() == 0
+    found = {(r.doc_id, r.source_doc_id, r.exact) for r in substring_dedup.repeated_passages(edges).collect()}
+    assert found == {(5, 4, True)}
+    assert line_dedup.dedup_lines(edges).columns == edges.columns
+
+
+def test_packing_round_trip(spark):
+    texts = {i: prose(n, i) for i, n in enumerate([0, 1, 5, 90, 700, 1400, 3000, 9000, 333, 1])}
+    texts[20] = "a <|endoftext|> b — ünïcode ✓ 漢字"
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    rows = packing.harmonic_pack(df, tokenizer_path()).collect()
+    from tokenizers import Tokenizer
+
+    exact = Tokenizer.from_file(tokenizer_path())
+    pieces, used = defaultdict(list), defaultdict(list)
+    for r in rows:
+        pieces[r.doc_id].append(r)
+        used[r.sequence_id].append((r.offset, r.length))
+    for doc, text in texts.items():
+        ids = np.array([*exact.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        at = 0
+        for p in sorted(pieces[doc], key=lambda p: p.start):
+            assert (p.start, p.doc_tokens) == (at, len(ids))
+            assert zlib.crc32(ids[at : at + p.length].tobytes()) == p.ids_crc32
+            at += p.length
+        assert at == len(ids)
+    for parts in used.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048
+
+
+def test_cuts_waste_little():
+    for n in range(1, 2048):
+        parts = packing.cuts(n, 2048, 8)
+        assert sum(p for p, _ in parts) == n
+        assert all(2048 // (k + 1) < p <= 2048 / k for p, k in parts)
+        assert sum(2048 // k - p for p, k in parts) <= 8
+
+
+def _classes(texts, k, num, den):
+    words = {i: re.findall("[^\x20\x09-\x0d]+", t.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))) for i, t in texts.items()}
+    sets = {i: {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set() for i, w in words.items()}
+    up = {i: i for i in texts}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a in texts:
+        for b in texts:
+            if a < b and sets[a] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                up[y] = x
+    return {i: (len(sets[i]), top(i)) for i in texts}
+
+
+def test_jaccard_matches_all_pairs(spark):
+    r, texts = random.Random(3), {}
+    for g in range(6):
+        base = prose(r.choice([3, 6, 40, 200]), 100 + g).split()
+        for _ in range(7):
+            w = list(base)
+            for _ in range(r.randrange(0, max(2, len(w) // 14))):
+                w[r.randrange(len(w))] = r.choice(VOCABULARY)
+            texts[len(texts)] = " ".join(w).upper() if r.random() < 0.2 else " ".join(w)
+    passage = prose(60, 77)
+    for i in range(6):
+        texts[len(texts)] = f"{prose(80, 900 + i)} {passage} {prose(50, 950 + i)}"
+    texts |= {90: "", 91: "one two", 92: "One  two", 93: "one two three"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_classes(df, k=4, threshold=(85, 100)).collect()}
+    assert got == _classes(texts, 4, 85, 100)
+
+
+def test_jaccard_rounds_compare_what_one_pivot_misses(spark, monkeypatch):
+    base = prose(120, 8).split()
+    texts = {0: " ".join(base[:60] + prose(60, 9).split())}
+    for i in range(1, 12):
+        w = list(base)
+        w[60 + i * 4] = "zzzz"
+        texts[i] = " ".join(w)
+    monkeypatch.setattr(jaccard, "CANDIDATES", (1, None))
+    monkeypatch.setattr(jaccard, "TOGETHER", 4)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_classes(df, k=4, threshold=(85, 100)).collect()}
+    assert got == _classes(texts, 4, 85, 100)
+
+
+def test_embeddings_match_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    monkeypatch.setattr(embedding_dedup, "LEAF", 4)
+    g = np.random.RandomState(4)
+    centres = g.randn(12, 16)
+    vectors = [(i, [float(x) for x in np.float32(centres[i % 12] + 0.25 * g.randn(16))], i % 3) for i in range(120)]
+    vectors += [(200, vectors[0][1], 0), (201, vectors[0][1], 0), (202, vectors[0][1], None), (203, None, 0), (204, [0.0] * 16, 0), (205, [float("nan")] + [1.0] * 15, 0), (206, [None] + [1.0] * 15, 0), (207, [1.0, 2.0], 0), (208, [2.0, 4.0], 0), (None, vectors[0][1], 0), (0, vectors[0][1], 0)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int")
+    rows = embedding_dedup.near_vectors(df).collect()
+    assert len(rows) == len(vectors)
+    good = {i: (np.array(v, float) / np.linalg.norm(v), lab) for i, v, lab in vectors if i is not None and i not in (202, 203, 204, 205, 206)}
+    links = {i: {j for j in good if i != j and good[i][1] == good[j][1] and len(good[i][0]) == len(good[j][0]) and good[i][0] @ good[j][0] >= 0.93} for i in good}
+    for r in rows:
+        if r.vec_id is None:
+            assert (r.n_links, r.component_id, r.kept) == (0, None, False)
+            continue
+        seen, todo = {r.vec_id}, [r.vec_id]
+        while todo:
+            new = links.get(todo.pop(), set()) - seen
+            seen |= new
+            todo += new
+        assert (r.n_links, r.component_id, r.kept) == (len(links.get(r.vec_id, ())), min(seen), min(seen) == r.vec_id)
+
+
+def test_lines(spark):
+    texts = [(1, "a\nb\nc\nd"), (2, "x\na\nb\nc\nd\ny"), (3, "b\nc"), (4, "q\nq\nq\nq\nq"), (5, "\n\n\n\n"), (6, "\n\n\n\n")]
+    got = {r.doc_id: (r.text, r.n) for r in line_dedup.dedup_lines(spark.createDataFrame(texts, "doc_id long, text string"), removed_col="n").collect()}
+    assert got == {1: ("a\nb\nc\nd", 0), 2: ("x\ny", 4), 3: ("b\nc", 0), 4: ("q", 4), 5: ("\n\n\n\n", 0), 6: ("\n\n\n\n", 0)}
+
+
+PII = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
+
+
+def _pii(text):
+    def ok(kind, v):
+        digits = re.sub("[^0-9]", "", v)
+        if kind == "ip":
+            return all(int(p) <= 255 for p in v.split("."))
+        if kind == "card":
+            return 14 <= len(digits) <= 19 and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
+        return kind != "phone" or 10 <= len(digits) <= 15
+
+    spans = sorted((m.start(), i, m.end(), kind) for i, (kind, p) in enumerate(PII) for m in re.finditer(p, text) if ok(kind, m[0]))
+    return ",".join(f"{kind}:{s}:{e}" for s, _, e, kind in spans)
+
+
+def test_pii_matches_plain_patterns(spark):
+    r = random.Random(6)
+    bits = ["a.b@c.d", "x@y", "@", "1.2.3.4.5.6.7.8", "300.1.1.1", "007.0.0.255", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (555) 123-4567", "+12", "é😀", "a@b.c+x@d.e", "12", ".", "-", " ", "\n", "word", "5500000000000004", "+49 30 1234567 "]
+    texts = [(i, "".join(r.choice(bits) + r.choice(["", " "]) for _ in range(60))) for i in range(60)] + [(99, " ".join(["8.8.8.8"] * 1000))]
+    for row in pii.find_pii(spark.createDataFrame(texts, "doc_id long, text string")).collect():
+        want = _pii(dict(texts)[row.doc_id])
+        assert row.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+        assert [s for s in row.spans.split(",") if not s.startswith("term")] == [s for s in want.split(",")]
+
+
+def test_pii_terms_that_disclose(spark):
+    texts = [(i, f"zorblatt {prose(20, i)} mail zorb@corp.example.com {prose(9, i + 50)}") for i in range(4)] + [(i, prose(40, i)) for i in range(10, 60)]
+    rows = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert all(rows[i].spans.startswith("term:0:8") for i in range(4)) and all(rows[i].n_term == 0 for i in range(10, 60))
+    clean = {r.doc_id: r.text for r in pii.sanitize(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert "zorb" not in clean[0] and "<EMAIL>" in clean[0] and clean[10] == dict(texts)[10]
+
+
+def test_secrets():
+    text = 'KEY = "ab12cd34ef56gh78"\npassword = KEY\napi_key: "x9" + "Zk81jsQpL0w"\nname="bob the builder"\nAKIA' + "A" * 14 + " 0123456789abcdef password=short ſecret=aaaaaaaaaaaa1"
+    spans, top = secrets.find_secrets(text)
+    found = {(secrets.KINDS[k], text[s:e]) for s, k, e in spans}
+    assert ("literal", "ab12cd34ef56gh78") in found and ("literal", "Zk81jsQpL0w") in found and top > 0.9
+    assert ("access", "AKIA" + "A" * 14) in found and ("hex", "0123456789abcdef") in found
+    assert not any("bob" in v or "short" in v for _, v in found) and not any(k == "assign" for k, _ in found)
+
+
+def test_decontamination_catches_reordered_passages(spark):
+    item = prose(40, 500).split()
+    docs = [(1, f"{prose(50, 1)} {' '.join(item[20:])} {prose(9, 2)} {' '.join(item[:20])} {prose(30, 3)}"), (2, prose(300, 4)), (3, " ".join(item[:12]) + prose(90, 5)), (4, " ".join(item).upper() + "!")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, prose(30, 501))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.coverage, r.tiles) for r in decontamination.find_contamination(df, bench).collect()}
+    assert got == {(1, 7): (1.0, 2), (4, 7): (1.0, 1)}
+    assert {r.doc_id for r in decontamination.drop_contaminated(df, bench).collect()} == {2, 3}
+
+
+def test_tiling_marks_the_longest_first():
+    assert decontamination.tiles([(0, 0, 6), (10, 4, 8)], 30, 20, 3) == [(10, 4, 8), (0, 0, 4)]
+
+
+def test_licenses(spark):
+    docs = [(1, "hello\nReleased under the MIT License.\nbye"), (2, "Licensed under CC BY-NC 4.0."), (3, "Licensed under CC BY 4.0."), (4, "a license to thrill"), (5, "x\nThis work is licensed under the GNU General Public License, version 2."), (6, "// Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in\n// compliance with the License. You may obtain a copy of the License at\n// http://www.apache.org/licenses/LICENSE-2.0")]
+    got = {r.doc_id: r.license for r in licenses.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: "MIT", 2: "CC-BY-NC-4.0", 3: "CC-BY-4.0", 5: "GPL-2.0", 6: "Apache-2.0"}
+
+
+def test_repeated_passages(spark):
+    passage = prose(70, 42).split()
+    fuzzy = list(passage)
+    for i in (13, 31, 50):
+        fuzzy[i] = "changed"
+    docs = [(1, f"{prose(80, 1)} {' '.join(passage)} {prose(60, 2)}"), (2, f"{prose(30, 3)} {' '.join(passage)} {prose(40, 4)}"), (3, f"{prose(90, 5)} {' '.join(fuzzy)}"), (4, prose(200, 6)), (5, f"{prose(80, 1)} {' '.join(passage)} {prose(60, 2)}"), (6, "the same line again and again\n" * 60), (7, "the same line again and again\n" * 50)]
+    rows = {r.doc_id: r for r in substring_dedup.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert set(rows) == {2, 3, 5, 7}
+    assert (rows[2].start_word, rows[2].end_word, rows[2].source_doc_id) == (30, 100, 1)
+    assert rows[3].source_doc_id == 1 and rows[3].matched_words >= 60 and rows[5].exact
+
+
+def test_chains_against_plain_dynamic_programming():
+    r = random.Random(9)
+    for _ in range(50):
+        matches = sorted({(r.randrange(40), r.randrange(40)) for _ in range(r.randrange(1, 25))})
+        best = {}
+        for i, j in matches:
+            best[i, j] = max([6.0] + [6 + s - 0.1 * (i - p + j - q) for (p, q), s in best.items() if p < i and q < j])
+        found = substring_dedup.chain(matches, 6, 0.1)
+        worth = [6 * len(c) - 0.1 * (c[-1][0] - c[0][0] + c[-1][1] - c[0][1]) for c in found]
+        if max(best.values()) > 6:
+            assert abs(max(worth) - max(best.values())) < 1e-9
+
+
+def test_toxicity_holds_out_well():
+    bad = ["scumbag", "worthless", "idiotic", "pathetic", "losers"]
+    r, texts = random.Random(2), []
+    for i in range(500):
+        words = prose(r.randrange(20, 200), 4000 + i).split()
+        toxic = i % 4 == 0
+        for _ in range(3 if toxic else 0):
+            words.insert(r.randrange(len(words)), r.choice(bad))
+        texts.append((toxic, " ".join(words)))
+    model = toxicity.Model.fit([x for t, x in texts[:350] if t], [x for t, x in texts[:350] if not t])
+    distance = toxicity.Distance(model.toxic, model.ordinary)
+    right = Counter((t, bool(model.score(distance.counts(x))[0] >= 0.5)) for t, x in texts[350:])
+    assert right[True, True] >= 0.9 * (right[True, True] + right[True, False]) and right[False, True] <= 3
