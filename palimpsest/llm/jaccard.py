@@ -8,13 +8,13 @@ triangle inequality a document may stray into the cells of its first |X| - ceil(
 and no further: it is replicated to those. Any two linked documents meet in a region, then, and with
 m - 1 pivots more they meet in m regions; a document in fewer shared ones has no link.
 
-Regions are joined recursively. In each, one document is the pivot of the next level: its distance
-to all others is taken, which links the whole group where a region is a group of copies. A region
+Regions are joined recursively. One document is the pivot of the next level: each document's distance
+to the least one in its first few regions is taken, which links most of a group of copies. A region
 whose documents now lie in one class is done. In the others, what is still apart is compared by
 fixed-length signatures: two documents whose signatures differ in more bits than shingles may differ
-cannot be linked (the triangle inequality for the symmetric difference); the rest is verified on the
-full sets. Rounds go on, each with a number of candidates that is linear in the region's size, until
-no candidate is left; the last round has no such bound.
+cannot be linked (the triangle inequality for the symmetric difference). Pairs that are left are held
+to the same bound with bucket counts, which grow with the sets, and then verified on the full sets.
+Rounds go on in regions with more candidates than one round takes; the last takes all.
 """
 
 from __future__ import annotations
@@ -36,8 +36,10 @@ COMMON, LEAST_COMMON, CHUNK = 1 << 17, 3, 1 << 22
 MEETINGS_SHARE, MEETINGS = 16, 4
 #: 64-bit words of a signature; documents of a region taken at once.
 SIGNATURE, TOGETHER = 16, 2048
+#: Regions of a document, at most, from which its pivot is taken.
+HOMES = 4
 #: Candidates for each document of a region in the rounds after the first; None: all.
-CANDIDATES = (16, 128, None)
+CANDIDATES = (4, 64, None)
 
 
 def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -126,7 +128,11 @@ def _digests(values: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 
 
 def _cells(rows: DataFrame, order, k: int, num: int, den: int, recurring=None) -> DataFrame:
-    """(cell, doc_id, n, a): each document at its pivots; with ``recurring`` at those in that bit set."""
+    """(cell, doc_id, n, a, home): each document at its pivots, under the lower half of their hashes.
+
+    With ``recurring``, at those in that bit set and under whole hashes: documents in fewer regions than
+    any linked one meets its partners in are left out, and the first HOMES of a document are its homes.
+    """
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranked = order.value
@@ -140,55 +146,118 @@ def _cells(rows: DataFrame, order, k: int, num: int, den: int, recurring=None) -
                 row = np.repeat(np.arange(len(many)), many)
                 if recurring:
                     keep = in_bit_set(recurring.value, flat)
+                    # The smallest partner of a document bounds the number of regions that they meet in.
+                    least = _meetings(_part(size, num, den), num, den)
+                    keep &= (np.bincount(row[keep], minlength=len(size)) >= least)[row]
                     flat, row = flat[keep], row[keep]
+                first = np.searchsorted(row, row)
+                cell = flat.view(np.int64) if recurring else flat.astype(np.uint32).view(np.int32)
                 a, _ = _digests(values, offsets)
-                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), part.column(0).take(pa.array(row)), pa.array(size[row]), pa.array(a[row])], ["cell", "doc_id", "n", "a"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cell), part.column(0).take(pa.array(row)), pa.array(size[row]), pa.array(a[row]), pa.array(np.arange(len(row)) - first < HOMES)],
+                    ["cell", "doc_id", "n", "a", "home"],
+                )
 
-    return rows.where("doc_id is not null").mapInArrow(replicate, "cell long, doc_id long, n long, a long")
+    return rows.where("doc_id is not null").mapInArrow(replicate, f"cell {'long' if recurring else 'int'}, doc_id long, n long, a long, home boolean")
 
 
-def _candidate_sets(rows: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """doc_id, n, the full set and its signature, of the documents named in ``ids``."""
+def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of the documents in a settled list, found before any text is split."""
+    if ids.count() <= BROADCAST_IDS:
+        return rows.join(F.broadcast(ids), "doc_id", "left_semi")
     bits = rows.sparkSession.sparkContext.broadcast(bit_set(ids.select(F.xxhash64("doc_id").alias("hash")), "hash"))
-    hashed = rows.where("doc_id is not null").withColumn("hash", F.xxhash64("doc_id"))
+
+    def there(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = in_bit_set(bits.value, batch.column(2).to_numpy().view(U64))
+            yield batch.filter(pa.array(keep)).select(["doc_id", "text"])
+
+    some = rows.where("doc_id is not null").withColumn("hash", F.xxhash64("doc_id")).mapInArrow(there, "doc_id long, text string")
+    return some.join(ids, "doc_id", "left_semi")
+
+
+def _counts(values: np.ndarray) -> bytes:
+    """How many shingles of a set fall into each of a power of two of buckets, about two in each; b"" if a count is over 255."""
+    buckets = 1 << max(4, (len(values) // 2).bit_length())
+    n = np.bincount((mix(values ^ U64(0x9FB21C651E98DF25)) & U64(buckets - 1)).astype(np.int64), minlength=buckets)
+    return n.astype(np.uint8).tobytes() if n.max() < 256 else b""
+
+
+def _apart(x: bytes, y: bytes) -> int:
+    """A lower bound of the number of shingles that are in one of two sets only."""
+    if not x or not y:
+        return 0
+    a, b = (np.frombuffer(v, np.uint8).astype(np.int64) for v in (x, y))
+    buckets = min(len(a), len(b))
+    return int(np.abs(a.reshape(-1, buckets).sum(0) - b.reshape(-1, buckets).sum(0)).sum())
+
+
+def _marks(rows: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """doc_id, n, signature and bucket counts of the texts of the documents in ``ids``."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            there = in_bit_set(bits.value, batch.column(2).to_numpy().view(U64))
-            for part in row_slices(batch.filter(pa.array(there)), 1):
+            for part in row_slices(batch, 1):
                 values, offsets = _sets(part, k)
                 size = np.diff(offsets)
                 which = (mix(values ^ U64(0x2545F4914F6CDD1D)) % U64(64 * SIGNATURE)).astype(np.int64)
                 odd = np.zeros((len(size), 64 * SIGNATURE), np.uint8)
                 np.bitwise_xor.at(odd, (np.repeat(np.arange(len(size)), size), which), 1)
                 packed = np.packbits(odd, axis=1)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size), list_array(values.view(np.int64), offsets, pa.int64()), pa.array([r.tobytes() for r in packed], pa.binary())], ["doc_id", "n", "items", "signature"])
+                counts = [_counts(values[offsets[i] : offsets[i + 1]]) for i in range(len(size))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size), pa.array([r.tobytes() for r in packed], pa.binary()), pa.array(counts, pa.binary())], ["doc_id", "n", "signature", "counts"])
 
-    found = hashed.mapInArrow(read, "doc_id long, n long, items array<long>, signature binary")
-    return among(found, ids, ["doc_id"])
+    return _only(rows, ids).mapInArrow(read, "doc_id long, n long, signature binary, counts binary").where("n > 0")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (x, y) whose sets have a Jaccard similarity of num/den or more."""
-    sides = [among(sets, settle(pairs.select(F.col(s).alias("doc_id")).distinct()), ["doc_id"]) for s in ("x", "y")]
-    left = sides[0].select(F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("items").alias("ix"))
-    right = sides[1].select(F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("items").alias("iy"))
-    pairs = settle(pairs)
+def _full_sets(rows: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """doc_id, n and the full set of the texts of the documents in ``ids``."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in row_slices(batch, 1):
+                values, offsets = _sets(part, k)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets)), list_array(values.view(np.int64), offsets, pa.int64())], ["doc_id", "n", "items"])
+
+    return _only(rows, ids).mapInArrow(read, "doc_id long, n long, items array<long>")
+
+
+def _sides(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Settled pairs (x, y) with the columns of both sides."""
     # Two longs for each of BROADCAST_IDS pairs at most are broadcast; beyond that both sides are shuffled.
     to = F.broadcast(pairs) if pairs.count() <= BROADCAST_IDS else pairs
+    return right.join(to, "y").join(left, "x")
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, marks: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The pairs (x, y) whose sets have a Jaccard similarity of num/den or more.
+
+    Bucket counts rule out most others first, so that full sets are read for few pairs besides links.
+    """
+
+    def plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            needed = -((-num * both) // (num + den))
+            apart = np.fromiter((_apart(x.as_py(), y.as_py()) for x, y in zip(batch.column(4), batch.column(5), strict=True)), np.int64, batch.num_rows)
+            yield batch.filter(pa.array(apart <= both - 2 * needed)).select(["x", "y"])
+
+    sides = _sides(settle(pairs), *(marks.select(F.col("doc_id").alias(s), F.col("n").alias(f"n{s}"), F.col("counts").alias(f"c{s}")) for s in ("x", "y")))
+    left = settle(sides.select("x", "y", "nx", "ny", "cx", "cy").mapInArrow(plausible, "x long, y long").distinct())
+    sides = (_full_sets(rows, settle(left.select(F.col(s).alias("doc_id")).distinct()), k).select(F.col("doc_id").alias(s), F.col("n").alias(f"n{s}"), F.col("items").alias(f"i{s}")) for s in ("x", "y"))
     same = F.size(F.array_intersect("ix", "iy")).cast("long")
-    return right.join(to, "y").join(left, "x").where(same * den >= (F.col("nx") + F.col("ny") - same) * num).select("x", "y").distinct()
+    return _sides(left, *sides).where(same * den >= (F.col("nx") + F.col("ny") - same) * num).select("x", "y").distinct()
 
 
 def _compared(members: DataFrame, signatures: DataFrame, num: int, den: int, most: int | None) -> DataFrame:
-    """Pairs of different classes in a region that their signatures do not rule out, and if there are more.
+    """(region, x, y, more): pairs of different classes that their signatures do not rule out, and if their region has more.
 
     A region of more than TOGETHER documents is cut into lots by size, and each two lots whose sizes
     can be similar are a group of their own.
     """
     size = members.groupBy("region").agg(F.count(F.lit(1)).alias("c"))
     lots = F.ceil(F.col("c") / TOGETHER).cast("int")
-    keyed = members.join(size, "region").join(signatures, "doc_id").withColumn("lots", lots).withColumn("lot", F.when(F.col("lots") > 1, F.pmod(F.xxhash64("doc_id", "region"), F.col("lots"))).otherwise(F.lit(0)).cast("int"))
+    keyed = members.join(size, "region").join(signatures, ["doc_id", "n"]).withColumn("lots", lots).withColumn("lot", F.when(F.col("lots") > 1, F.pmod(F.xxhash64("doc_id", "region"), F.col("lots"))).otherwise(F.lit(0)).cast("int"))
     dealt = keyed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).select(
         "region", F.least("lot", "other").alias("i"), F.greatest("lot", "other").alias("j"), "lot", "doc_id", "n", "class", "signature"
     )
@@ -219,9 +288,9 @@ def _compared(members: DataFrame, signatures: DataFrame, num: int, den: int, mos
             xs.append(ids[r][p])
             ys.append(ids[cols][q])
         x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (xs, ys))
-        return pa.table({"x": np.minimum(x, y), "y": np.maximum(x, y), "more": np.full(len(x), more)})
+        return pa.table({"region": np.full(len(x), table["region"][0].as_py()), "x": np.minimum(x, y), "y": np.maximum(x, y), "more": np.full(len(x), more)})
 
-    return dealt.groupBy("region", "i", "j").applyInArrow(compare, "x long, y long, more boolean").distinct()
+    return dealt.groupBy("region", "i", "j").applyInArrow(compare, "region long, x long, y long, more boolean")
 
 
 def jaccard_classes(df: DataFrame, *, k: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -253,41 +322,42 @@ def jaccard_classes(df: DataFrame, *, k: int = 5, threshold: tuple[int, int] = (
         return cells.join(F.broadcast(copies) if few else copies, ["doc_id", "n", "a"], "left_anti")
 
     every = _cells(rows, order, k, num, den)
-    # Copies that are too many to broadcast are taken out once only few cells are left.
-    recurring = settle((single(every) if few else every).groupBy("cell").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("cell"))
-    cells = single(_cells(rows, order, k, num, den, sc.broadcast(bit_set(recurring, "cell")))).join(recurring, "cell")
-    # The smallest partner of a document bounds the number of regions that they meet in.
-    partner = F.ceil(F.col("n") * num / den)
-    least = F.least(F.ceil(partner * num / den), F.greatest(F.lit(MEETINGS), F.floor(partner / MEETINGS_SHARE)))
-    # A document's list is no longer than its own number of pivots.
-    often = cells.groupBy("doc_id", "n").agg(F.collect_set("cell").alias("cells")).where(F.size("cells") >= least)
-    cells = settle(often.select(F.explode("cells").alias("cell"), "doc_id", "n"))
-
-    # Regions with the same documents are one region.
-    regions = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc_id", "n")).alias("p"), F.bit_xor(F.xxhash64("doc_id", "n")).alias("f"), F.bit_xor(F.xxhash64(F.lit("second"), "doc_id", "n")).alias("g")).where("c > 1")
-    regions = regions.groupBy("c", "p", "f", "g").agg(F.min("cell").alias("cell")).select("cell", F.col("p.doc_id").alias("pivot"), F.col("p.n").alias("pn"))
-    members = settle(cells.join(regions, "cell").select(F.col("cell").alias("region"), "doc_id", "n", "pivot", "pn"))
-
-    sets = settle(_candidate_sets(rows, settle(members.select("doc_id").distinct()), k))
-    near = (F.least("n", "pn") * den >= F.greatest("n", "pn") * num) & (F.col("doc_id") != F.col("pivot"))
-    links = settle(_verified(members.where(near).select(F.col("pivot").alias("x"), F.col("doc_id").alias("y")).distinct(), sets, num, den))
+    # Copies that are too many to broadcast are taken out once only few cells are left. Half a hash is
+    # all that the bit set reads; cells that it takes for recurring ones make regions of one document.
+    recurring = (single(every) if few else every).groupBy("cell").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    cells = settle(single(_cells(rows, order, k, num, den, sc.broadcast(bit_set(recurring, "cell")))).select("cell", "doc_id", "n", "home"))
+    marks = settle(_marks(rows, settle(cells.where("home").select("doc_id").distinct()), k))
+
+    # Each document is held against one pivot, the least in its homes.
+    homes = cells.where("home")
+    pivots = homes.groupBy("cell").agg(F.min(F.struct("doc_id", "n")).alias("p")).select("cell", F.col("p.doc_id").alias("x"), F.col("p.n").alias("pn"))
+    near = (F.least("n", "pn") * den >= F.greatest("n", "pn") * num) & (F.col("doc_id") != F.col("x"))
+    pairs = homes.join(pivots, "cell").where(near).groupBy(F.col("doc_id").alias("y")).agg(F.min("x").alias("x")).select("x", "y")
+    links = settle(_verified(pairs, rows, marks, k, num, den))
     classes = settle(components(links))
 
-    signatures = sets.select("doc_id", "signature").groupBy("doc_id").agg(F.first("signature").alias("signature"))
-    open_members = members.select("region", "doc_id", "n")
+    def placed(members: DataFrame) -> DataFrame:
+        known = classes.select(F.col("node").alias("doc_id"), "component")
+        known = F.broadcast(known) if known.count() <= BROADCAST_IDS else known
+        return members.join(known, "doc_id", "left").withColumn("class", F.coalesce("component", "doc_id")).drop("component")
+
+    # Regions with documents of several classes are open; those with the same documents are one region.
+    regions = placed(cells.drop("home")).groupBy("cell").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("p"), F.min("class").alias("lo"), F.max("class").alias("hi"), F.bit_xor(F.xxhash64("doc_id", "n")).alias("f"))
+    regions = settle(regions.where("lo <> hi").groupBy("c", "p", "f").agg(F.min("cell").alias("cell")).select("cell"))
+    members = settle(among(cells.select("cell", "doc_id", "n"), regions, ["cell"]).withColumnRenamed("cell", "region"))
     for most in CANDIDATES:
-        placed = open_members.join(classes.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("class", F.coalesce("component", "doc_id")).drop("component")
-        split = placed.groupBy("region").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("region")
-        placed = settle(placed.join(split, "region", "left_semi"))
-        compared = settle(_compared(placed, signatures, num, den, most))
+        open_members = placed(members)
+        split = open_members.groupBy("region").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("region")
+        compared = settle(_compared(settle(open_members.join(split, "region", "left_semi")), marks.select("doc_id", "n", "signature"), num, den, most))
         pairs = compared.select("x", "y").distinct()
         if pairs.isEmpty():
             break
-        links = settle(links.unionByName(_verified(pairs, sets, num, den)))
+        links = settle(links.unionByName(_verified(pairs, rows, marks, k, num, den)))
         classes = settle(components(links))
-        if compared.where("more").isEmpty():
+        more = settle(compared.where("more").select("region").distinct())
+        if more.isEmpty():
             break
-        open_members = placed.select("region", "doc_id", "n")
+        members = among(members, more, ["region"])
 
     owner = equal.join(classes.select(F.col("node").alias("rep"), "component"), "rep", "left").select("n", "a", "b", F.coalesce("component", "rep").alias("owner"))
     out = described.select("doc_id", "n", "a", "b").join(owner, ["n", "a", "b"], "left")
