@@ -5,7 +5,8 @@ texts which share window + k - 1 words in a row share a seed. A seed that a text
 so that texts of one repeated line match in order. Each seed is joined with its first occurrence in
 the corpus. The matches of a document with one earlier document are chained in order,
 with a cost for gaps, by dynamic programming over a Fenwick tree of prefix maxima; chains are then
-aligned word by word, extended at both ends, and kept if long and alike enough.
+aligned word by word, extended at both ends, and kept if long and alike enough. Of a chain that is
+not, the parts that are stay.
 """
 
 from __future__ import annotations
@@ -62,7 +63,8 @@ def chain(matches: list[tuple[int, int]], k: int, gap_cost: float) -> list[list[
     """Chains of two matches or more that ascend on both sides, best first.
 
     A match is worth k and a gap costs ``gap_cost`` for each word on either side. Chains are read off
-    one table of scores, from the best end on; each stops where an earlier one covers the document.
+    one table of scores, from the best end on; each stops where an earlier one covers the document,
+    that is within k words of a match of it, so that what stands in its gaps can still be matched.
     """
     matches = sorted(set(matches))
     places = {j: r for r, j in enumerate(sorted({j for _, j in matches}))}
@@ -86,8 +88,9 @@ def chain(matches: list[tuple[int, int]], k: int, gap_cost: float) -> list[list[
             path.append(end)
             end = back[end]
         if len(path) >= 2:
-            for m in range(bisect_left(lowest, matches[path[-1]][0]), path[0] + 1):
-                covered[m] = True
+            for p in path:
+                for m in range(bisect_left(lowest, lowest[p] - k + 1), bisect_left(lowest, lowest[p] + k)):
+                    covered[m] = True
             out.append([matches[m] for m in reversed(path)])
         elif path:
             covered[path[0]] = True
@@ -140,6 +143,49 @@ def align(x: np.ndarray, y: np.ndarray, path: list[tuple[int, int]], k: int) ->
     return i0 - ahead, i + behind, j0 - ahead, j + behind, matched + last
 
 
+def _between(x: np.ndarray, y: np.ndarray, i: int, j: int, p: int, q: int, k: int) -> int:
+    """Words matched from the end (i, j) of one match to that of the next one at (p, q)."""
+    inside = 0
+    if p >= i and q >= j:
+        inside = int((x[i:p] == y[j:q]).sum()) if p - i == q - j else _common(x[i:p], y[j:q])
+    return inside + max(0, k - max(i - p, j - q, 0))
+
+
+def alike_parts(x: np.ndarray, y: np.ndarray, path: list[tuple[int, int]], k: int, identity: float) -> list[tuple[int, int, int, int, int]]:
+    """What ``align`` gives for the chain if it is alike enough, else for its longest parts that are.
+
+    Of all runs of matches whose words, without extension, are alike enough, those that no other
+    contains, without the ones that add no match to their neighbours. An extension that makes a part
+    less alike than is asked is left out.
+    """
+
+    def fits(found: tuple[int, int, int, int, int]) -> bool:
+        s, e, t, f, n = found
+        return n >= identity * max(e - s, f - t, 1)
+
+    whole = align(x, y, path, k)
+    if fits(whole):
+        return [whole]
+    p, q = np.array(path, np.int64).T
+    gained = [k, *(_between(x, y, a + k, b + k, c, d, k) for (a, b), (c, d) in zip(path, path[1:], strict=False))]
+    matched = np.cumsum(gained)
+    longest: list[tuple[int, int]] = []
+    for a in range(len(path)):
+        good = matched[a:] - matched[a] + k >= identity * (np.maximum(p[a:] - p[a], q[a:] - q[a]) + k)
+        last = a + int(np.flatnonzero(good)[-1])
+        if not longest or last > longest[-1][1]:
+            while len(longest) >= 2 and a <= longest[-2][1] + 1:
+                longest.pop()
+            longest.append((a, last))
+    out = []
+    for a, last in longest:
+        i, j = max(path[a][0] - MARGIN, 0), max(path[a][1] - MARGIN, 0)
+        s, e, t, f, n = align(x[i : path[last][0] + k + MARGIN], y[j : path[last][1] + k + MARGIN], [(c - i, d - j) for c, d in path[a : last + 1]], k)
+        found = s + i, e + i, t + j, f + j, n
+        out.append(found if fits(found) else (path[a][0], path[last][0] + k, path[a][1], path[last][1] + k, int(matched[last] - matched[a]) + k))
+    return out
+
+
 def _nth(row: np.ndarray, values: np.ndarray) -> np.ndarray:
     """How often each value has stood in its row before."""
     order = np.lexsort((values, row))
@@ -274,11 +320,10 @@ def repeated_passages(
             out = []
             for x, y, i, j, wx, lx, wy, ly in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "i", "j", "w_x", "lo_x", "w_y", "lo_y")), strict=True):
                 a, b = np.frombuffer(wx, np.uint32), np.frombuffer(wy, np.uint32)
-                s, e, t, f, n = align(a, b, [(p - lx, q - ly) for p, q in zip(i, j, strict=True)], k)
-                e, f = min(e, len(a)), min(f, len(b))
-                alike = n / max(e - s, f - t, 1)
-                if e - s >= least and alike >= identity:
-                    out.append((x, s + lx, e + lx, y, t + ly, f + ly, n, min(alike, 1.0), False))
+                for s, e, t, f, n in alike_parts(a, b, [(p - lx, q - ly) for p, q in zip(i, j, strict=True)], k, identity):
+                    e, f = min(e, len(a)), min(f, len(b))
+                    if e - s >= least:
+                        out.append((x, s + lx, e + lx, y, t + ly, f + ly, n, min(n / max(e - s, f - t, 1), 1.0), False))
             if out:
                 types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), types, strict=True)], [c.split()[0] for c in SCHEMA.split(", ")])

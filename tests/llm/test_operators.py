@@ -240,6 +240,45 @@ def test_repeated_passages(spark):
     assert rows[3].source_doc_id == 1 and rows[3].matched_words >= 60 and rows[5].exact
 
 
+def test_repeated_passages_around_an_insertion(spark):
+    docs, want = [], {}
+    for n, (run, gap, other) in enumerate([(60, 31, 0), (60, 60, 60), (300, 400, 0), (300, 400, 400)]):
+        a, b = prose(run, 600 + n), prose(run, 620 + n)
+        docs += [(2 * n, f"{prose(40, 640 + n)} {a} {prose(other, 660 + n)} {b} {prose(30, 680 + n)}"), (2 * n + 1, f"{prose(25, 700 + n)} {a} {prose(gap, 720 + n)} {b} {prose(20, 740 + n)}")]
+        want[2 * n + 1] = [(25, 25 + run), (25 + run + gap, 25 + 2 * run + gap)]
+    moved = [prose(60, 760 + n) for n in range(3)]
+    docs += [(20, f"{moved[0]} {moved[2]} {prose(200, 770)} {moved[1]}"), (21, " ".join(moved))]
+    want[21] = [(0, 60), (60, 120), (120, 180)]
+    rows = substring_dedup.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    for doc, runs in want.items():
+        found = [r for r in rows if r.doc_id == doc]
+        assert all(r.identity >= 0.8 and r.source_doc_id == doc - 1 for r in found)
+        for s, e in runs:
+            covered = {w for r in found for w in range(max(s, r.start_word), min(e, r.end_word))}
+            assert len(covered) >= 0.9 * (e - s), (doc, s, e, [(r.start_word, r.end_word) for r in found])
+
+
+def test_parts_of_a_chain_are_all_that_are_alike():
+    r = random.Random(12)
+    for _ in range(60):
+        path, x, y, at = [], [], [], 0
+        for _ in range(r.randrange(2, 9)):
+            run = r.randrange(6, 40)
+            path.append((len(x), len(y)))
+            path += [(len(x) + run - 6, len(y) + run - 6)] * (run > 6)
+            for side, gap in ((x, r.randrange(0, 30)), (y, r.randrange(0, 30))):
+                side += list(range(at, at + run)) + [10_000 + len(x) * 2 + (side is x) * 50_000 + g for g in range(gap)]
+            at += run
+        a, b = np.array(x, np.uint32), np.array(y, np.uint32)
+        found = substring_dedup.alike_parts(a, b, path, 6, 0.8)
+        assert all(n >= 0.8 * max(e - s, f - t) for s, e, t, f, n in found)
+        if len(found) > 1:
+            same = np.isin(a, b)
+            for (p, q), (c, d) in ((u, v) for g, u in enumerate(path) for v in path[g:]):
+                if same[p : c + 6].sum() >= 0.8 * max(c - p + 6, d - q + 6):
+                    assert all(any(s <= m and m + 6 <= e for s, e, *_ in found) for m, _ in path if p <= m <= c)
+
+
 def test_chains_against_plain_dynamic_programming():
     r = random.Random(9)
     for _ in range(50):
