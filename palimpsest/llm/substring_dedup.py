@@ -2,8 +2,10 @@
 
 Seeds are k-mers of words, thinned to the least hash of every ``window`` successive ones, so that two
 texts which share window + k - 1 words in a row share a seed. A seed that a text repeats is numbered there,
-so that texts of one repeated line match in order. Each seed is joined with its first occurrence in
-the corpus. The matches of a document with one earlier document are chained in order,
+so that texts of one repeated line match in order; a later one also counts as the first of its text, so
+that a second copy of a passage is found as well. Each seed is joined with its first occurrence in
+the corpus, and so is each run of successive seeds: where the seeds of a passage scatter over the
+sources of its sentences, a run over their seams leads to the text that has them together. The matches of a document with one earlier document are chained in order,
 with a cost for gaps, by dynamic programming over a Fenwick tree of prefix maxima; chains are then
 aligned word by word, extended at both ends, and kept if long and alike enough. Of a chain that is
 not, the parts that are stay.
@@ -25,6 +27,8 @@ from palimpsest.llm._util import bit_set, in_bit_set, settle
 
 #: Words read beyond both ends of a chain for its extension.
 MARGIN = 64
+#: Numbers of successive seeds that are joined as one.
+RUNS = (2, 4)
 
 
 def minimizers(values: np.ndarray, window: int) -> np.ndarray:
@@ -202,7 +206,26 @@ def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
 
 
-def _seeds(rows: DataFrame, k: int, window: int, least: int, recurring=None) -> DataFrame:
+def _runs(values: np.ndarray, row: np.ndarray, at: np.ndarray, among: np.ndarray | None = None) -> list[tuple[np.ndarray, ...]]:
+    """(hash, row, first and last place) of all runs of RUNS successive values in a row, of those in ``among`` alone."""
+    out = []
+    for many in RUNS:
+        n = len(values) - many + 1
+        if n <= 0:
+            continue
+        total, whole = np.full(n, many, U64), row[:n] == row[many - 1 :]
+        for t in range(many):
+            total = mix(total * U64(0x9E3779B97F4A7C15) + values[t : t + n])
+            if among is not None:
+                whole &= among[t : t + n]
+        out.append((total[whole], row[:n][whole], at[:n][whole], at[many - 1 :][whole]))
+    return out
+
+
+def _seeds(rows: DataFrame, k: int, window: int, least: int, recurring=None, runs_of=None) -> DataFrame:
+    """(s, doc_id, i, l): seeds with their first place, twice; with ``runs_of`` the runs of those in that
+    bit set instead, and with ``recurring`` all seeds and runs in that one."""
+
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in row_slices(batch, 1):
@@ -212,17 +235,32 @@ def _seeds(rows: DataFrame, k: int, window: int, least: int, recurring=None) ->
                 places = [minimizers(values[a:b], window) if n >= max(least, k) else np.zeros(0, np.int64) for a, b, n in zip(offsets[:-1], offsets[1:], size, strict=True)]
                 many = np.array([len(p) for p in places])
                 at = np.concatenate(places) if places else np.zeros(0, np.int64)
-                flat = values[at + np.repeat(offsets[:-1], many)] if len(at) else np.zeros(0, U64)
+                plain = values[at + np.repeat(offsets[:-1], many)] if len(at) else np.zeros(0, U64)
                 row = np.repeat(np.arange(len(many)), many)
-                flat = mix(flat + _nth(row, flat) * U64(0x9E3779B97F4A7C15))
+                if runs_of:
+                    found = _runs(plain, row, at, in_bit_set(runs_of.value, mix(plain.copy())))
+                else:
+                    nth = _nth(row, plain)
+                    found = [(mix(plain + nth * U64(0x9E3779B97F4A7C15)), row, at, at)]
+                    if recurring:
+                        again = nth > 0
+                        found += [(mix(plain[again]), row[again], at[again], at[again]), *_runs(plain, row, at)]
+                if not found:
+                    continue
+                flat, row, at, last = (np.concatenate(c) for c in zip(*found, strict=True))
                 if recurring:
                     keep = in_bit_set(recurring.value, flat)
-                    at, flat, row = at[keep], flat[keep], row[keep]
-                ids = part.column(0).take(pa.array(row))
+                    flat, row, at, last = flat[keep], row[keep], at[keep], last[keep]
                 if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), ids, pa.array(at.astype(np.int32))], ["s", "doc_id", "i"])
+                    yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), part.column(0).take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(last.astype(np.int32))], ["s", "doc_id", "i", "l"])
+
+    return rows.mapInArrow(seeds, "s long, doc_id long, i int, l int")
 
-    return rows.mapInArrow(seeds, "s long, doc_id long, i int")
+
+def _firsts(seeds: DataFrame) -> DataFrame:
+    """Where each seed stands first, of those that a later document has too."""
+    f = F.min(F.struct("doc_id", "i", "l")).alias("f")
+    return settle(seeds.groupBy("s").agg(f, F.max("doc_id").alias("last")).where("last > f.doc_id").select("s", F.col("f.doc_id").alias("y"), F.col("f.i").alias("j"), F.col("f.l").alias("m")))
 
 
 def _sizes(rows: DataFrame) -> DataFrame:
@@ -268,7 +306,7 @@ def repeated_passages(
 ) -> DataFrame:
     """Passages of ``min_words`` words or more that occur, exactly or nearly, in an earlier document.
 
-    A passage may be pieced together from sources that hold half of ``min_words`` each or more.
+    A passage may be pieced together from several sources whose parts meet, whatever their lengths.
     One row per part of a passage and its source: doc_id, start_word, end_word, source_doc_id,
     source_start_word, source_end_word, matched_words, identity (matched words by the longer side's
     length) and exact (the whole text is a copy of the source's). Documents are ordered by id. A
@@ -284,20 +322,20 @@ def repeated_passages(
     first = sizes.groupBy("digest").agg(F.min("doc_id").alias("source"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     copies = settle(sizes.join(first, "digest").where("doc_id <> source").select("doc_id", "source", "n"))
 
-    firsts = _seeds(rows, k, window, min_words).groupBy("s").agg(F.min(F.struct("doc_id", "i")).alias("f"), F.max("doc_id").alias("last")).where("last > f.doc_id").select("s", F.col("f.doc_id").alias("y"), F.col("f.i").alias("j"))
-    firsts = settle(firsts)
+    spread = rows.sparkSession.sparkContext.broadcast
+    firsts = _firsts(_seeds(rows, k, window, min_words))
     # Most seeds that occur once are left out before the shuffle, by a bit set of those that recur.
-    recurring = rows.sparkSession.sparkContext.broadcast(bit_set(firsts, "s"))
-    shared = _seeds(rows, k, window, min_words, recurring).join(firsts, "s").where("doc_id > y").select(F.col("doc_id").alias("x"), "y", "i", "j")
+    firsts = firsts.unionByName(_firsts(_seeds(rows, k, window, min_words, runs_of=spread(bit_set(firsts, "s")))))
+    shared = _seeds(rows, k, window, min_words, spread(bit_set(firsts, "s"))).join(firsts, "s").where("doc_id > y").select(F.col("doc_id").alias("x"), "y", "i", "j", "l", "m")
     shared = shared.join(copies.select(F.col("doc_id").alias("x")), "x", "left_anti")
-    # A document has at most one match for each of its own seeds, so that a group is no longer than the document.
-    grouped = shared.groupBy("x", "y").agg(F.collect_list(F.struct("i", "j")).alias("m")).where(F.size("m") >= 2)
+    # A document has a few matches at most for each of its own seeds, so that a group is no longer than the document.
+    grouped = shared.groupBy("x", "y").agg(F.collect_list(F.struct("i", "j", "l", "m")).alias("m")).where((F.size("m") >= 2) | (F.col("m")[0]["l"] > F.col("m")[0]["i"]))
 
     def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for x, y, m in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "m")), strict=True):
-                for c, path in enumerate(chain([(p["i"], p["j"]) for p in m], k, gap_cost)):
+                for c, path in enumerate(chain([at for p in m for at in ((p["i"], p["j"]), (p["l"], p["m"]))], k, gap_cost)):
                     out.append((x, y, c, [p for p, _ in path], [q for _, q in path]))
             if out:
                 types = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
@@ -312,9 +350,6 @@ def repeated_passages(
     left, right = (_pieces(rows, wanted(*side)).withColumnRenamed("w", f"w_{side[0]}").withColumnRenamed("lo", f"lo_{side[0]}") for side in (("x", "i"), ("y", "j")))
     both = chains.join(left, ["x", "y", "c"]).join(right, ["x", "y", "c"]).select("x", "y", "i", "j", "w_x", "lo_x", "w_y", "lo_y")
 
-    # A passage may be pieced together from several sources: a part of one is half a passage at least.
-    least = max(k, min_words // 2)
-
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -322,7 +357,7 @@ def repeated_passages(
                 a, b = np.frombuffer(wx, np.uint32), np.frombuffer(wy, np.uint32)
                 for s, e, t, f, n in alike_parts(a, b, [(p - lx, q - ly) for p, q in zip(i, j, strict=True)], k, identity):
                     e, f = min(e, len(a)), min(f, len(b))
-                    if e - s >= least:
+                    if e - s >= k:
                         out.append((x, s + lx, e + lx, y, t + ly, f + ly, n, min(n / max(e - s, f - t, 1), 1.0), False))
             if out:
                 types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.bool_()]

@@ -258,6 +258,30 @@ def test_repeated_passages_around_an_insertion(spark):
             assert len(covered) >= 0.9 * (e - s), (doc, s, e, [(r.start_word, r.end_word) for r in found])
 
 
+def test_repeated_passages_of_sentences_seen_before(spark):
+    docs, want, r = [], [], random.Random(31)
+    for n in range(40):
+        sentences = [prose(r.choice([14, 17, 20]), 5000 + 10 * n + m) for m in range(4)]
+        for m, sentence in enumerate(sentences):
+            docs.append((10 * n + m, f"{prose(30, 6000 + 10 * n + m)} {sentence} {prose(30, 7000 + 10 * n + m)}"))
+        passage = " ".join(sentences).split()
+        docs.append((10 * n + 5, f"{prose(40, 8000 + n)} {' '.join(passage)} {prose(40, 8100 + n)}"))
+        if n % 2:
+            for i in r.sample(range(len(passage)), 3):
+                passage[i] = "changed"
+        docs.append((10 * n + 6, f"{prose(20, 8200 + n)} {' '.join(passage)} {prose(20, 8300 + n)}"))
+        want.append((10 * n + 6, n % 2, 20, 20 + len(passage)))
+    docs += [(1000, f"{prose(80, 1)} {prose(70, 42)}"), (1001, f"{prose(20, 3)} {prose(70, 42)} {prose(30, 4)} {prose(70, 42)}")]
+    found = defaultdict(set)
+    for row in substring_dedup.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        found[row.doc_id] |= set(range(row.start_word, row.end_word))
+    for fuzzy in (0, 1):
+        hit = [len(found[d] & set(range(s, e))) >= 0.9 * (e - s) for d, f, s, e in want if f == fuzzy]
+        assert sum(hit) >= (0.8 if fuzzy else 1.0) * len(hit), (fuzzy, sum(hit), len(hit))
+    assert found[1001] >= set(range(20, 90)) | set(range(120, 190))
+    assert not {d for d in found if d % 10 < 4 and d < 1000}
+
+
 def test_parts_of_a_chain_are_all_that_are_alike():
     r = random.Random(12)
     for _ in range(60):
