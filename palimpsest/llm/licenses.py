@@ -1,9 +1,9 @@
 """License scan by conditional compression.
 
-A candidate block is compressed alone and, for each license, with that license's texts as a raw
-zstandard dictionary. Licenses are ranked by how much their dictionary shortens the block; the best
-of the ranking are then compared with the block word by word, and the first whose wording differs
-little enough is the finding, with the words that differ.
+A candidate block, its paragraphs, lines and sentences are each compressed alone and, for each license,
+with that license's texts as a raw zstandard dictionary. Licenses are ranked by how much their
+dictionary shortens such a piece; all that shorten it enough are then compared with it word by word,
+and each whose wording differs little enough is a finding, with the words that differ.
 """
 
 from __future__ import annotations
@@ -67,31 +67,86 @@ TELLING = {"affero", "lesser", "apache", "mozilla", "mit", "bsd", "isc", "gnu",
 
 _CUE = re.compile(r"licen[sc]e|copyright|permission is|permission to|redistribut|warrant|public domain|spdx|waived all|\bcc[ -]?(?:by|0)\b", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+|[0-9]+(?:\.[0-9]+)*")
+#: Numbers and letters of list items, which copies of a text leave out or change.
+_ITEM = re.compile(r"\b[0-9a-z][.)]\s+(?=redistributions|neither)")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+")
 _GAP = 2
+#: Lines that are a license's title and nothing else, as words (fixed values).
+TITLES = {
+    "MIT": ("mit license", "the mit license", "the mit license mit"),
+    "BSD-2-Clause": ("bsd 2 clause license", "the bsd 2 clause license"),
+    "BSD-3-Clause": ("bsd 3 clause license", "the bsd 3 clause license"),
+    "ISC": ("isc license", "the isc license"),
+}
+#: A license whose text has all of another's.
+CONTAINS = {"BSD-3-Clause": "BSD-2-Clause"}
 
 
-def blocks(text: str) -> Iterator[tuple[int, int]]:
-    """Code-point ranges of the candidate blocks: lines with a cue, joined over at most two lines without."""
-    start = end = None
-    missed = at = 0
+def _words(text: str) -> list[tuple[str, int, int]]:
+    """Words with their ranges; items' numbers are left out. Lower-casing keeps ASCII in its place."""
+    low = "".join(c.lower() if c.isascii() else c for c in text) if not text.isascii() else text.lower()
+    items = {m.start() for m in _ITEM.finditer(low)}
+    return [(m[0], m.start(), m.end()) for m in _WORD.finditer(low) if m.start() not in items]
+
+
+def wording(text: str) -> list[str]:
+    return [w for w, _, _ in _words(text)]
+
+
+def runs_of(texts: list[list[str]]) -> set[tuple[str, ...]]:
+    return {tuple(w[i : i + 3]) for w in texts for i in range(len(w) - 2)}
+
+
+def blocks(text: str, known: set[tuple[str, ...]] = frozenset()) -> Iterator[list[tuple[int, int]]]:
+    """Code-point ranges of the lines of each candidate block.
+
+    It has a line with a cue at least, and goes on both ways over lines that have one or share three
+    words in a row with ``known``, over blank lines and at most two others between.
+    """
     if not _CUE.search(text):
         return
+    lines, at = [], 0
     for line in text.split("\n"):
-        stop = at + len(line)
-        if _CUE.search(line):
-            start, end, missed = (at if start is None else start), stop, 0
+        lines.append((at, at + len(line)))
+        at += len(line) + 1
+    cues = [bool(_CUE.search(text, *r)) for r in lines]
+
+    def reach(n: int, step: int, stop: int) -> int:
+        last, missed = n, 0
+        while n + step != stop and missed <= _GAP:
+            n += step
+            if cues[n] or not known.isdisjoint(runs_of([wording(text[slice(*lines[n])])])):
+                last, missed = n, 0
+            elif text[slice(*lines[n])].strip():
+                missed += 1
+        return last
+
+    done = -1
+    for n, cue in enumerate(cues):
+        if cue and n > done:
+            low, done = reach(n, -1, done), reach(n, 1, len(lines))
+            yield lines[low : done + 1]
+
+
+def pieces(text: str, lines: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges to be looked at in a block: the whole, runs of lines about a cue up to a blank one, lines and sentences."""
+    out = [(lines[0][0], lines[-1][1])]
+    start = end = None
+    missed = 0
+    for a, b in [*lines, (0, 0)]:
+        if a < b and _CUE.search(text, a, b):
+            out.append((a, b))
+            cuts = [a, *(m.end() for m in _SENTENCE.finditer(text, a, b)), b]
+            out += [(c, d) for c, d in zip(cuts, cuts[1:], strict=False) if _CUE.search(text, c, d)]
+            # A text within a longer line: as many sentences as the longest template has.
+            out += [(c, d) for c, d in zip(cuts, [*cuts[4:], *[b] * 4], strict=False) if len(cuts) > 5 and c < d and _CUE.search(text, c, d)]
+            start, end, missed = (a if start is None else start), b, 0
         elif start is not None:
             missed += 1
-            if missed > _GAP or not line.strip():
-                yield start, end
-                start = None
-        at = stop + 1
-    if start is not None:
-        yield start, end
-
-
-def wording(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+            if missed > _GAP or not text[a:b].strip():
+                out.append((start, end))
+                start, missed = None, 0
+    return list(dict.fromkeys(out))
 
 
 class Scanner:
@@ -101,6 +156,8 @@ class Scanner:
         self._plain = zstandard.ZstdCompressor(level=level, write_content_size=False)
         self._agreement = agreement
         self._licenses = []
+        self.known = runs_of([wording(t) for texts in templates.values() for t in texts])
+        self._titles = {t: name for name in templates for t in TITLES.get(name, ())}
         for name, texts in templates.items():
             raw = zstandard.ZstdCompressionDict("\n".join(texts).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             raw.precompute_compress(level=level)
@@ -113,28 +170,47 @@ class Scanner:
         ranked = [(1 - len(c.compress(data)) / alone, name, texts) for name, c, texts in self._licenses]
         return sorted(ranked, key=lambda r: (-r[0], r[1]))
 
-    def confirm(self, block: str, texts: list[list[str]]) -> tuple[float, int, str] | None:
-        """(agreement, differing words, the differences) with the closest text, if it is close enough."""
-        have, best = wording(block), None
+    def confirm(self, block: str, texts: list[list[str]]) -> tuple[int, int, float, int, str] | None:
+        """(start, end, agreement, differing words, the differences) with the closest text, if it is close enough."""
+        placed, best = _words(block), None
+        have = [w for w, _, _ in placed]
         for want in texts:
             m = SequenceMatcher(None, have, want, autojunk=False)
-            same = sum(b.size for b in m.get_matching_blocks())
-            share = same / len(want)
+            equal = [b for b in m.get_matching_blocks() if b.size]
+            share = sum(b.size for b in equal) / len(want)
+            if share < self._agreement:
+                continue
             inside = [op for op in m.get_opcodes() if op[0] != "equal" and not (op[0] == "delete" and op[3] in (0, len(want)))]
             minus = [w for _, a, b, _, _ in inside for w in have[a:b]]
             plus = [w for _, _, _, a, b in inside for w in want[a:b]]
             tells = [w for w in (*minus, *plus) if w in TELLING or w[0].isdigit()]
-            if share >= self._agreement and not tells and (best is None or share > best[0]):
-                best = (share, len(minus) + len(plus), " ".join([*(f"-{w}" for w in minus), *(f"+{w}" for w in plus)]))
+            if not tells and (best is None or share > best[2]):
+                best = (placed[equal[0].a][1], placed[equal[-1].a + equal[-1].size - 1][2], share, len(minus) + len(plus), " ".join([*(f"-{w}" for w in minus), *(f"+{w}" for w in plus)]))
         return best
 
-    def scan(self, block: str, least: float, rounds: int = 3) -> tuple | None:
-        ranked = self.ranking(block)
-        for gain, name, texts in ranked[:rounds]:
+    def scan(self, block: str, least: float) -> list[tuple]:
+        """(start, end, license, reduction, runner-up, agreement, number and words that differ) of all licenses confirmed."""
+        ranked, out = self.ranking(block), []
+        for gain, name, texts in ranked[:3]:
             if gain >= least and (found := self.confirm(block, texts)):
                 other = next((r[1] for r in ranked if r[1] != name), None)
-                return name, gain, other, *found
-        return None
+                out.append((*found[:2], name, gain, other, *found[2:]))
+                break
+        if (name := self._titles.get(" ".join(wording(block)))) and not any(f[2] == name for f in out):
+            ranks = {n: g for g, n, _ in ranked}
+            out.append((0, len(block), name, ranks[name], next((r[1] for r in ranked if r[1] != name), None), 1.0, 0, ""))
+        return out
+
+
+def settled(found: list[tuple]) -> list[tuple]:
+    """Of the findings of a block's pieces: the longest of each license of those that overlap, in order."""
+    out: list[tuple] = []
+    for f in sorted(dict.fromkeys(found), key=lambda f: (f[0] - f[1], -f[5], -f[3], f[0])):
+        if not any(f[2] == g[2] and f[0] < g[1] and g[0] < f[1] for g in out):
+            out.append(f)
+    whole = {CONTAINS[f[2]] for f in out if f[2] in CONTAINS}
+    longest = {name: max((f[1] - f[0] for f in out if f[2] == name), default=0) for name in whole}
+    return sorted(f for f in out if not (f[2] in whole and f[1] - f[0] == longest[f[2]] > 200))
 
 
 SCHEMA = "doc_id long, start long, end long, license string, reduction double, runner_up string, agreement double, n_different long, differences string"
@@ -143,15 +219,15 @@ SCHEMA = "doc_id long, start long, end long, license string, reduction double, r
 def scan_licenses(
     df: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, *, reduction: float = 0.25, agreement: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """One row per block that states a license: its range (code points, end exclusive) and the license.
+    """One row per license stated in a block: the range of its words (code points, end exclusive) and the license.
 
     ``reduction`` is the least share of a block's compressed length that a dictionary must save,
-    ``agreement`` the least share of a template's words that the block must have in order. The three
-    best-ranked licenses are compared. Equal reductions rank by name.
+    ``agreement`` the least share of a template's words that the block must have in order. The
+    three best-ranked licenses are compared. Equal reductions rank by name.
 
     A null or empty text has no blocks; a null id is passed on; repeated rows each give their rows;
     no rows give no rows. Columns other than the two named are never read. A worker remembers the
-    findings of up to 10,000 short blocks.
+    findings of up to 10,000 short pieces.
     """
     templates = templates or TEMPLATES
 
@@ -163,13 +239,16 @@ def scan_licenses(
             for part in row_slices(batch, 1):
                 rows = []
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    for start, end in blocks(text or ""):
-                        block = text[start:end]
-                        found = memo[block] if block in memo else scanner.scan(block, reduction)
-                        if len(block) <= 1000 and len(memo) < 10_000:
-                            memo[block] = found
-                        if found:
-                            rows.append((doc, start, end, *found))
+                    text = text or ""
+                    for lines in blocks(text, scanner.known):
+                        found = []
+                        for start, end in pieces(text, lines):
+                            piece = text[start:end]
+                            hits = memo[piece] if piece in memo else scanner.scan(piece, reduction)
+                            if len(piece) <= 1000 and len(memo) < 10_000:
+                                memo[piece] = hits
+                            found += [(start + f[0], start + f[1], *f[2:]) for f in hits]
+                        rows += [(doc, *f) for f in settled(found)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 

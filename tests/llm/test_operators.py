@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -228,6 +229,32 @@ def test_licenses(spark):
     assert got == {1: "MIT", 2: "CC-BY-NC-4.0", 3: "CC-BY-4.0", 5: "GPL-2.0", 6: "Apache-2.0"}
 
 
+def _licenses(text):
+    scanner = licenses.Scanner(licenses.TEMPLATES, 0.8)
+    return [(f[2], text[f[0] : f[1]]) for lines in licenses.blocks(text, scanner.known) for f in licenses.settled([(s + h[0], s + h[1], *h[2:]) for s, e in licenses.pieces(text, lines) for h in scanner.scan(text[s:e], 0.25)])]
+
+
+def test_licenses_in_their_usual_form():
+    mit = licenses.TEMPLATES["MIT"][1]
+    first, second = mit.split(" The above copyright")
+    wrapped = f"{textwrap.fill(first, 78)}\n\n{textwrap.fill('The above copyright' + second, 78)}\n"
+    body = licenses.TEMPLATES["BSD-2-Clause"][1]
+    for mark in ("1. {}\n\n2. {}", "* {}\n\n* {}"):
+        head, rest = body.split(" 1. ")
+        clauses = [textwrap.fill(c, 76) for c in rest.split(" 2. ")]
+        bsd2 = f"{textwrap.fill(head, 76)}\n\n{mark.format(*clauses)}\n"
+        bsd3 = f"{bsd2}\n3. {textwrap.fill(licenses.TEMPLATES['BSD-3-Clause'][1], 76)}\n"
+        assert [n for n, _ in _licenses(f"int main;\n\n{bsd2}\nint x;")] == ["BSD-2-Clause"], mark
+        assert [n for n, _ in _licenses(f"int main;\n\n{bsd3}\nint x;")] == ["BSD-3-Clause"], mark
+    (found,) = _licenses(f"hello world\n\nCopyright (c) 2020 Some One\n\n{wrapped}\nother text here\n")
+    assert found[0] == "MIT" and found[1].startswith("Permission is") and found[1].endswith("Software")
+    assert {n for n, _ in _licenses(f"MIT License\n\nCopyright (c) 2020 Some One\n\n{wrapped}")} == {"MIT"}
+    assert _licenses("x\nBSD 3-Clause License\ny") == [("BSD-3-Clause", "BSD 3-Clause License")]
+    for name in ("MPL-2.0", "GPL-2.0", "CC0-1.0", "Unlicense", "Apache-2.0"):
+        assert {n for n, _ in _licenses("a b c\n" + "\n".join(f"# {line}" for line in textwrap.wrap(licenses.TEMPLATES[name][1], 60)) + "\nd e f")} == {name}
+    assert [n for n, _ in _licenses(f"{prose(60, 1)}. Released under the MIT License. {prose(300, 2)}.")] == ["MIT"]
+
+
 def test_repeated_passages(spark):
     passage = prose(70, 42).split()
     fuzzy = list(passage)
