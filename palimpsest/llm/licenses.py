@@ -191,11 +191,10 @@ class Scanner:
     def scan(self, block: str, least: float) -> list[tuple]:
         """(start, end, license, reduction, runner-up, agreement, number and words that differ) of all licenses confirmed."""
         ranked, out = self.ranking(block), []
-        for gain, name, texts in ranked[:3]:
+        for gain, name, texts in ranked:
             if gain >= least and (found := self.confirm(block, texts)):
                 other = next((r[1] for r in ranked if r[1] != name), None)
                 out.append((*found[:2], name, gain, other, *found[2:]))
-                break
         if (name := self._titles.get(" ".join(wording(block)))) and not any(f[2] == name for f in out):
             ranks = {n: g for g, n, _ in ranked}
             out.append((0, len(block), name, ranks[name], next((r[1] for r in ranked if r[1] != name), None), 1.0, 0, ""))
@@ -222,8 +221,8 @@ def scan_licenses(
     """One row per license stated in a block: the range of its words (code points, end exclusive) and the license.
 
     ``reduction`` is the least share of a block's compressed length that a dictionary must save,
-    ``agreement`` the least share of a template's words that the block must have in order. The
-    three best-ranked licenses are compared. Equal reductions rank by name.
+    ``agreement`` the least share of a template's words that the block must have in order. All
+    licenses of at least ``reduction`` are compared. Equal reductions rank by name.
 
     A null or empty text has no blocks; a null id is passed on; repeated rows each give their rows;
     no rows give no rows. Columns other than the two named are never read. A worker remembers the

@@ -255,6 +255,15 @@ def test_licenses_in_their_usual_form():
     assert [n for n, _ in _licenses(f"{prose(60, 1)}. Released under the MIT License. {prose(300, 2)}.")] == ["MIT"]
 
 
+def test_all_licenses_of_a_block():
+    for between in ("\n", "\nand also\nor\n", " "):
+        assert sorted(_licenses(f"Released under the MIT License.{between}Licensed under the Apache License, Version 2.0.")) == [("Apache-2.0", "Licensed under the Apache License, Version 2.0"), ("MIT", "Released under the MIT License")]
+    for name, texts in licenses.TEMPLATES.items():
+        for text in texts:
+            assert [n for n, _ in _licenses(text)] == [name]
+    assert [n for n, _ in _licenses("Licensed under CC BY 4.0.\n\nLicensed under CC BY 4.0.")] == ["CC-BY-4.0"] * 2
+
+
 def test_repeated_passages(spark):
     passage = prose(70, 42).split()
     fuzzy = list(passage)
