@@ -28,10 +28,9 @@ _ASSIGN = re.compile(r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 
-_OPERATOR = re.compile(r"""["']?[ \t]{0,8}(?::=|=>|:|=)(?!=)[ \t]*""")
-_NAME_BEFORE = re.compile(r"(?:^|[^A-Za-z0-9_.$-])([A-Za-z_][A-Za-z0-9_.-]*)$")
+_OPERATOR = re.compile(r"(?::=|=>|:|=)(?!=)[ \t]*")
+_IN_NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
 _TERM = re.compile(r"""(?:[bruf]{0,2}"((?:[^"\\\n]|\\.)*)"|[bru]?'((?:[^'\\\n]|\\.)*)'|\$\{?([A-Za-z_]\w*)\}?|([^\s,;"'(){}<>\[\]]+))[ \t]*(\+[ \t]*)?""")
-_NAME_LENGTH = 128
 _SPLIT_NAME = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*")
 
@@ -67,43 +66,60 @@ def value_weight(value: str) -> float:
     return min(1.0, bits / 3.0) * min(1.0, n / 10) * words
 
 
-def assignments(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
-    """(name, value, spans of its literals) of each assignment, with constants propagated, in order.
+def _name_before(text: str, end: int) -> str:
+    """The name that ends before an operator at ``end``, a quote and any blanks between; empty if none."""
+    while end and text[end - 1] in " \t":
+        end -= 1
+    if end and text[end - 1] in "\"'":
+        end -= 1
+    start = end
+    while start and text[start - 1] in _IN_NAME:
+        start -= 1
+    name = text[start:end]
+    return name if name and (name[0].isalpha() or name[0] == "_") and not (start and text[start - 1] == "$") else ""
 
-    A value is followed through its first 64 literals, so that one that grows by itself stays linear.
+
+def assignments(text: str) -> Iterator[tuple[str, str, list]]:
+    """(name, value, its literals) of each assignment, with constants propagated, in order.
+
+    Literals are a tree whose leaves are spans (start, end) and whose nodes are lists; values share
+    those of the constants in them, so that one that grows by itself stays linear. Of a constant
+    65,536 characters are passed on to be weighed, and all of its literals.
     """
     known: dict[str, tuple[str, list]] = {}
     for op in _OPERATOR.finditer(text):
-        before = _NAME_BEFORE.search(text[max(0, op.start() - _NAME_LENGTH) : op.start()])
-        if not before:
+        name = _name_before(text, op.start())
+        if not name:
             continue
-        name, at, value, spans = before[1], op.end(), "", []
+        at, value, spans = op.end(), [], []
         while term := _TERM.match(text, at):
             plain = term[1] if term[1] is not None else term[2]
             word = term[3] or term[4]
             if plain is not None:
-                value += plain
-                spans = [*spans, term.span(1 if term[1] is not None else 2)]
+                value.append(plain)
+                spans.append(term.span(1 if term[1] is not None else 2))
             elif word in known and _IDENTIFIER.fullmatch(word):
-                value, spans = value + known[word][0], [*spans, *known[word][1]]
+                value.append(known[word][0])
+                spans.append(known[word][1])
             elif term[4]:
-                value, spans = value + word, [*spans, term.span(4)]
+                value.append(word)
+                spans.append(term.span(4))
             at = term.end()
             if not term[5]:
                 break
-        if value:
-            spans = spans[:64]
-            known[name] = (value[:65536], spans)
+        if whole := "".join(value):
+            known[name] = (whole[:65536], spans)
             if "." in name:
                 known[name.rpartition(".")[2]] = known[name]
-            yield name, value, spans
+            yield name, whole, spans
 
 
 def find_secrets(text: str, threshold: float = 0.5) -> tuple[list[tuple[int, int, int]], float]:
     """(start, kind, end) of all spans, sorted, and the highest score of a literal."""
     found = [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if len(m[1]) >= 12]
     found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text)] + [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
-    best: dict[tuple[int, int], float] = {}
+    best: set[tuple[int, int]] = set()
+    seen: dict[int, list] = {}
     top = 0.0
     if "=" in text or ":" in text:
         for name, value, spans in assignments(text):
@@ -111,9 +127,15 @@ def find_secrets(text: str, threshold: float = 0.5) -> tuple[list[tuple[int, int
                 score = weight * value_weight(value)
                 top = max(top, score)
                 if score >= threshold:
-                    for s, e in spans:
-                        if e > s:
-                            best[s, e] = max(score, best.get((s, e), 0))
+                    todo = [spans]
+                    while todo:
+                        node = todo.pop()
+                        if isinstance(node, tuple):
+                            if node[1] > node[0]:
+                                best.add(node)
+                        elif id(node) not in seen:
+                            seen[id(node)] = node
+                            todo += node
     found += [(s, 3, e) for s, e in best]
     return sorted(found), top
 

@@ -209,6 +209,14 @@ def test_secrets():
     assert not any("bob" in v or "short" in v for _, v in found) and not any(k == "assign" for k, _ in found)
 
 
+def test_secrets_without_limits():
+    literals = [f"q{i}Zk81j{i}w" for i in range(200)]
+    texts = ["private_key" + " " * 40 + '= "Zk81jsQpL0w"', "password" + "_y" * 100 + ' = "Zk81jsQpL0w"', "k = " + " + ".join(f'"{v}"' for v in literals) + "\npassword = k"]
+    texts.append('a = "Zk81jsQpL0w"\n' + "".join(f'a = a + "{v}"\n' for v in literals) + "password = a")
+    for text, want in zip(texts, (["Zk81jsQpL0w"], ["Zk81jsQpL0w"], literals, ["Zk81jsQpL0w", *literals]), strict=True):
+        assert {text[s:e] for s, k, e in secrets.find_secrets(text)[0] if k == 3} == set(want)
+
+
 def test_decontamination_catches_reordered_passages(spark):
     item = prose(40, 500).split()
     docs = [(1, f"{prose(50, 1)} {' '.join(item[20:])} {prose(9, 2)} {' '.join(item[:20])} {prose(30, 3)}"), (2, prose(300, 4)), (3, " ".join(item[:12]) + prose(90, 5)), (4, " ".join(item).upper() + "!")]
