@@ -48,7 +48,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Compression distance, tiling and packing by tokens are beyond SQL; the tests hold run() against plain Python.
+#: Compression distance, tiling and packing by tokens are beyond SQL. No test holds run() against plain Python.
 ORACLE_SQL = None
 
 
