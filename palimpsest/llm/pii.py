@@ -4,7 +4,7 @@ Entities are the values that four patterns find: emails, ip addresses, payment c
 term t discloses an entity c if their pointwise mutual information over the documents of the corpus,
 log p(c,t) / p(c)p(t), reaches the information content of c, -log p(c), divided by ``alpha``: the
 closer alpha is to 1, the nearer t must come to determining c. Such terms are marked wherever they
-stand in a document with that entity, to be replaced by a general label or removed.
+stand, also in documents without that entity, to be replaced by a general label or removed.
 
 Everything here is DataFrame expressions. The spans of a text are worked out in its own row; only
 terms of documents with an entity that several documents share are counted against the corpus.
@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm._util import among, settle
+
 #: Kinds of the base spans, in their order; spans of disclosing terms come last.
 KINDS = ("email", "ip", "card", "phone", "term")
 
@@ -111,7 +113,7 @@ def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def disclosing_terms(df: DataFrame, *, alpha: float = 1.25, support: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, h, spans): for each text (h is its hash) the spans of terms that disclose its entities.
+    """(doc_id, h, spans): for each text (h is its hash) the spans of terms that disclose an entity, its own or not.
 
     Counted are documents: entities and pairs of fewer than ``support`` give no evidence. Rows of
     equal id and text count once; a null id is an id of its own.
@@ -123,21 +125,25 @@ def disclosing_terms(df: DataFrame, *, alpha: float = 1.25, support: int = 3, id
     shared = entities.groupBy("c").agg(F.count(F.lit(1)).alias("n_c")).where(F.col("n_c") >= support)
     carriers = entities.join(shared, "c")
     texts = hinted.withColumn("d", key).join(carriers.select("d").distinct(), "d", "left_semi").dropDuplicates(["d"])
-    tokens = _matches(entity_spans(texts), "text", _TERM, 4, "words").select(
-        F.xxhash64("doc_id", "h").alias("d"), "doc_id", "h",
-        F.explode(F.filter("words", lambda w: ~F.exists("base", lambda b: (w["s"] < b["e"]) & (w["e"] > b["s"])))).alias("w"),
-    )
-    tokens = tokens.select("d", "doc_id", "h", F.lower("w.v").alias("t"), F.struct("w.s", "w.k", "w.e").alias("span"))
-    pairs = tokens.select("d", "t").distinct().join(carriers, "d").groupBy("c", "n_c", "t").agg(F.count(F.lit(1)).alias("n_ct")).where(F.col("n_ct") >= support)
+
+    def tokens_of(some: DataFrame) -> DataFrame:
+        tokens = _matches(entity_spans(some), "text", _TERM, 4, "words").select(
+            F.xxhash64("doc_id", "h").alias("d"), "doc_id", "h",
+            F.explode(F.filter("words", lambda w: ~F.exists("base", lambda b: (w["s"] < b["e"]) & (w["e"] > b["s"])))).alias("w"),
+        )
+        return tokens.select("d", "doc_id", "h", F.lower("w.v").alias("t"), F.struct("w.s", "w.k", "w.e").alias("span"))
+
+    pairs = tokens_of(texts).select("d", "t").distinct().join(carriers, "d").groupBy("c", "n_c", "t").agg(F.count(F.lit(1)).alias("n_ct")).where(F.col("n_ct") >= support)
     frequency = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n_t"))
     total = rows.agg(F.count(F.lit(1)).alias("n"))
     # One row of one number is joined to every pair.
     scored = pairs.join(frequency.where(F.col("n_t") >= support), "t").crossJoin(F.broadcast(total))
     content = F.log2(F.col("n") / F.col("n_c"))
     mutual = F.log2(F.col("n_ct").cast("double") * F.col("n") / (F.col("n_c").cast("double") * F.col("n_t")))
-    telling = scored.where((content > 0) & (mutual * alpha >= content)).select("c", "t")
-    marked = carriers.select("d", "c").join(telling, "c").select("d", "t").distinct()
-    return tokens.join(marked, ["d", "t"]).groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("span")).alias("terms"))
+    telling = settle(scored.where((content > 0) & (mutual * alpha >= content)).select("t").distinct())
+    said = rows.select(key.alias("d"), F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)), F.lower))).alias("t"))
+    having = settle(among(said, telling, ["t"]).select("d").distinct())
+    return among(tokens_of(among(rows.withColumn("d", key), having, ["d"])), telling, ["t"]).groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("span")).alias("terms"))
 
 
 def find_pii(df: DataFrame, *, alpha: float = 1.25, support: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

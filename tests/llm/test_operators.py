@@ -200,6 +200,12 @@ def test_pii_terms_that_disclose(spark):
     assert "zorb" not in clean[0] and "<EMAIL>" in clean[0] and clean[10] == dict(texts)[10]
 
 
+def test_pii_terms_disclose_where_the_entity_is_not_written(spark):
+    texts = [(i, f"zorblatt {prose(20, i)} mail zorb@corp.example.com {prose(9, i + 50)}") for i in range(4)] + [(i, prose(40, i)) for i in range(10, 60)] + [(90, "we met Zorblatt there")]
+    rows = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert rows[90].spans == "term:7:15" and all(rows[i].n_term == 0 for i in range(10, 60))
+
+
 def test_secrets():
     text = 'KEY = "ab12cd34ef56gh78"\npassword = KEY\napi_key: "x9" + "Zk81jsQpL0w"\nname="bob the builder"\nAKIA' + "A" * 14 + " 0123456789abcdef password=short ſecret=aaaaaaaaaaaa1"
     spans, top = secrets.find_secrets(text)
