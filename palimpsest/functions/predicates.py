@@ -223,8 +223,12 @@ def _is_number(kind: T.DataType) -> bool:
     return type(kind) in _BITS or isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType))
 
 
-def compare(col: Column, kind: T.DataType, op: str, value: Any) -> Column:
-    """``col op value``: unknown for a null on either side, a NaN literal on whole numbers, and types that do not compare."""
+def compare(col: Column, kind: T.DataType, op: str, value: Any, *, filtering: bool = False) -> Column:
+    """``col op value``: unknown for a null on either side, a NaN literal on whole numbers, and types that do not compare.
+
+    A whole number on a column of floats is unknown for a NaN, too. With ``filtering``, false may
+    stand for unknown, and the comparison itself remains a conjunct that can be pushed down.
+    """
     apply = {"=": lambda a, b: a == b, "<>": lambda a, b: a != b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}[op]
     unknown = F.lit(None).cast("boolean")
     if isinstance(kind, _NESTED):
@@ -249,7 +253,11 @@ def compare(col: Column, kind: T.DataType, op: str, value: Any) -> Column:
             out = _unless_null(col, False) if low is None else col <= F.lit(low).cast(kind)
         else:
             out = _unless_null(col, False) if high is None else col >= F.lit(high).cast(kind)
-        return F.when(F.isnan(col), unknown).otherwise(out) if floating and not isinstance(value, float) else out
+        if not floating or isinstance(value, float):
+            return out
+        if filtering:  # NaN is above all numbers for Spark, and equals none
+            return out if op in ("=", "<", "<=") else out & ~F.isnan(col)
+        return F.when(F.isnan(col), unknown).otherwise(out)
     fits = {
         T.StringType: str, T.BooleanType: bool, T.DateType: dt.date, T.TimestampType: dt.datetime, T.TimestampNTZType: dt.datetime,
     }.get(type(kind))
@@ -260,8 +268,11 @@ def compare(col: Column, kind: T.DataType, op: str, value: Any) -> Column:
     return apply(col, F.lit(value))
 
 
-def to_column(expr: Expr, schema: T.StructType) -> Column:
-    """The predicate over columns of ``schema``; names and types are checked before any plan is built."""
+def to_column(expr: Expr, schema: T.StructType, *, filtering: bool = False) -> Column:
+    """The predicate over columns of ``schema``; names and types are checked before any plan is built.
+
+    With ``filtering``, the column is only good for ``where``: it may be false instead of unknown.
+    """
     types = {f.name: f.dataType for f in schema}
 
     def field(name: str) -> tuple[Column, T.DataType]:
@@ -269,17 +280,17 @@ def to_column(expr: Expr, schema: T.StructType) -> Column:
             raise NoSuchField(name)
         return F.col(f"`{name.replace('`', '``')}`"), types[name]
 
-    def build(e: Expr) -> Column:
+    def build(e: Expr, loose: bool) -> Column:
         match e:
             case Constant(value):
                 return F.lit(value)
             case Cmp(op, column, value):
-                return compare(*field(column), op, value)
+                return compare(*field(column), op, value, filtering=loose)
             case Between(column, low, high, inclusive):
                 col, kind = field(column)
-                return compare(col, kind, ">=" if inclusive else ">", low) & compare(col, kind, "<=" if inclusive else "<", high)
+                return compare(col, kind, ">=" if inclusive else ">", low, filtering=loose) & compare(col, kind, "<=" if inclusive else "<", high, filtering=loose)
             case InList(column, values):
-                return member(*field(column), values)
+                return member(*field(column), values, filtering=loose)
             case StartsWith(column, prefix):
                 col, kind = field(column)
                 if not isinstance(kind, T.StringType) or not isinstance(prefix, str):
@@ -289,17 +300,17 @@ def to_column(expr: Expr, schema: T.StructType) -> Column:
                 col, _ = field(column)
                 return col.isNotNull() if negated else col.isNull()
             case And(parts):
-                return reduce(lambda a, b: a & b, map(build, parts), F.lit(True)) if parts else F.lit(True)
+                return reduce(lambda a, b: a & b, [build(p, loose) for p in parts], F.lit(True)) if parts else F.lit(True)
             case Or(parts):
-                return reduce(lambda a, b: a | b, map(build, parts), F.lit(False)) if parts else F.lit(False)
+                return reduce(lambda a, b: a | b, [build(p, loose) for p in parts], F.lit(False)) if parts else F.lit(False)
             case Not(part):
-                return ~build(part)
+                return ~build(part, False)
         raise UnsupportedPredicate(type(e).__name__)
 
-    return build(expr)
+    return build(expr, filtering)
 
 
-def member(col: Column, kind: T.DataType, values: tuple) -> Column:
+def member(col: Column, kind: T.DataType, values: tuple, *, filtering: bool = False) -> Column:
     """Unknown for a null, even in no values; else true if one is equal, unknown if some are unknown."""
     if isinstance(kind, _NESTED):
         raise UnsupportedPredicate(f"{kind.simpleString()} cannot be compared with a literal")
@@ -315,7 +326,7 @@ def member(col: Column, kind: T.DataType, values: tuple) -> Column:
             plain, unknown = None, True
             break
     if plain is None:
-        parts = [compare(col, kind, "=", v) for v in values]
+        parts = [compare(col, kind, "=", v, filtering=filtering) for v in values]
         return reduce(lambda a, b: a | b, parts)
     if not plain or unknown:
         return _unless_null(col, False)

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.errors import NullKey, SchemaError, TableError, WriteConflict
+from palimpsest.errors import NullKey, SchemaError, SnapshotExpired, TableError, WriteConflict
 from palimpsest.functions.predicates import Expr
-from palimpsest.operators.scan import Scan
+from palimpsest.operators.scan import Scan, Staged
 from palimpsest.schema import COMMIT_TS, SEQUENCE, TOMBSTONE
 
 if TYPE_CHECKING:
@@ -95,7 +95,9 @@ class Transaction:
     def scan(self) -> Scan:
         """Reads the snapshot with the staged writes over it."""
         self._open()
-        return Scan(self._table, self.snapshot, self.staged())
+        rows = self.staged()
+        known = sum(map(len, self._staged)) if all(isinstance(p, list) for p in self._staged) else None
+        return Scan(self._table, self.snapshot, Staged(rows, known) if rows is not None else None)
 
     def get(self, *key: Any) -> dict | None:
         rows = self.scan().filter(Expr.and_(*[Expr.eq(k, v) for k, v in zip(self._table.config.key, key, strict=True)])).to_df().collect()
@@ -115,12 +117,19 @@ class Transaction:
         staged = self.staged()
         if staged is None:
             return None
-        keys, seen = list(self._table.config.key), {s.id for s in self.snapshot.segments}
+        keys = list(self._table.config.key)
 
         def check(head: Version) -> None:
-            later = tuple(s for s in head.segments if s.id not in seen and s.max_ts > self.snapshot.read_ts)
+            """What was committed since, as each commit wrote it: merges may have dropped its deletes."""
+            versions = self._table.log.since(self.snapshot.version)
+            if versions is None:
+                raise SnapshotExpired("the commits since the snapshot have been vacuumed away")
+            seen, later = {s.id for s in self.snapshot.segments}, []
+            for v in versions:
+                later += [s for s in v.segments if v.kind == "commit" and s.id not in seen]
+                seen |= {s.id for s in v.segments}
             if later:
-                written = self._table.read(later).where(F.col(COMMIT_TS) > self.snapshot.read_ts)
+                written = self._table.read(tuple(later)).where(F.col(COMMIT_TS) > self.snapshot.read_ts)
                 if clash := written.join(staged.select(*keys), keys, "left_semi").select(*keys).first():
                     raise WriteConflict(str(tuple(clash)))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.predicates import Expr, to_column
 from palimpsest.operators.table import Table
+from palimpsest.plans.compaction import Leveled
 from palimpsest.plans.resolve import resolve
 from palimpsest.schema import COMMIT_TS, SEQUENCE, TOMBSTONE, declare
 
@@ -60,7 +61,7 @@ def mvcc_snapshot_at(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("mvcc_value_filter_after_resolve", _EVENTS.format(where="", and_=" AND value > 50"))
 def mvcc_value_filter_after_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _events(spark, sf_dir)
-    return rows.where(to_column(Expr.gt("value", 50), rows.schema))
+    return rows.where(to_column(Expr.gt("value", 50), rows.schema, filtering=True))
 
 
 @_register("mvcc_key_range_filter", _EVENTS.format(where="", and_=" AND user_id BETWEEN 20 AND 90"))
@@ -86,7 +87,7 @@ def _filtered(name: str, table: str, columns: list[str], expr: Expr, where: str)
     @_register(name, f"SELECT {', '.join(columns)} FROM {table} WHERE {where}")
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = _table(spark, sf_dir, table)
-        return rows.where(to_column(expr, rows.schema)).select(*columns)
+        return rows.where(to_column(expr, rows.schema, filtering=True)).select(*columns)
 
 
 _ORDER = ["o_orderkey", "o_custkey", "o_totalprice"]
@@ -192,6 +193,16 @@ def txn_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.scan().to_df()
 
 
+def _compacted(spark: SparkSession, sf_dir: str) -> tuple[Table, DataFrame]:
+    """Customers, changed and partly deleted, in small files at level 1."""
+    table, rows = _customers(spark, sf_dir)
+    table.ingest(_raised(rows))
+    table.delete(rows.where("c_custkey % 7 = 0").select("c_custkey"))
+    table.strategy = Leveled(base_file_bytes=1 << 13, max_file_bytes=1 << 13)
+    table.compact(force=True)
+    return table, rows
+
+
 @_register("compaction_preserves_visible", _CUSTOMER.format(balance=_RAISED, where=" WHERE c_custkey % 7 <> 0"))
 def compaction_preserves_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
     table, rows = _customers(spark, sf_dir)
@@ -201,6 +212,18 @@ def compaction_preserves_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.scan().to_df()
 
 
+@_register("scan_after_partial_compaction", _CUSTOMER.format(balance="CASE WHEN c_custkey % 11 = 0 THEN 1 WHEN c_acctbal < 0 THEN c_acctbal + 1000 ELSE c_acctbal END", where=" WHERE c_custkey % 11 = 0 OR c_custkey % 7 <> 0"))
+def scan_after_partial_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table, rows = _compacted(spark, sf_dir)
+    table.ingest(rows.where("c_custkey % 11 = 0").withColumn("c_acctbal", F.lit(1.0)))
+    return table.scan().to_df()
+
+
+@_register("key_range_after_compaction", _CUSTOMER.format(balance=_RAISED, where=" WHERE c_custkey % 7 <> 0 AND c_custkey BETWEEN 20 AND 90"))
+def key_range_after_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _compacted(spark, sf_dir)[0].scan().filter(Expr.between("c_custkey", 20, 90)).to_df()
+
+
 @_register("versions_list", "SELECT * FROM (VALUES (1, 1, 1), (2, 2, 2), (2, 3, 1)) AS v(timestamp, version, segment_count)")
 def versions_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     table, rows = _customers(spark, sf_dir)

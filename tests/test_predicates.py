@@ -72,3 +72,13 @@ def test_bounds():
     assert key_bounds(Expr.gt("i", 9) & Expr.lt("i", 3), "i").empty
     assert not key_bounds(Expr.starts_with("s", "k1"), "s").meets("k2", "k3")
     assert key_bounds(Expr.starts_with("s", "k1"), "s").meets("k0", "k1zz")
+
+
+def test_whole_numbers_on_floats_are_pushed(spark, tmp_path):
+    spark.createDataFrame([(1.5,), (2.0,), (float("nan"),), (None,), (9007199254740994.0,)], "x double").coalesce(1).write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    for expr, want in ((Expr.gt("x", 1), [1.5, 2.0, 9007199254740994.0]), (Expr.lt_eq("x", 2), [1.5, 2.0]), (Expr.gt_eq("x", 9007199254740993), [9007199254740994.0]), (Expr.not_eq("x", 2), [1.5, 9007199254740994.0]), (~Expr.lt("x", 2), [2.0, 9007199254740994.0])):
+        found = rows.where(to_column(expr, rows.schema, filtering=True))
+        assert sorted(r.x for r in found.collect()) == want == sorted(r.x for r in rows.where(to_column(expr, rows.schema)).collect())
+    plan = rows.where(to_column(Expr.gt("x", 1), rows.schema, filtering=True))._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(x,1.0)" in plan
