@@ -1,14 +1,15 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary and one on toxic text, and every window of a
-text (one word between spaces, followed by a fixed carrier line that both dictionaries hold) is
-compressed with each. A window that the toxic dictionary shortens and the ordinary one does not is
-evidence: its pair of lengths has a log-likelihood ratio, measured on labelled texts that neither
-dictionary was trained on. A text's score is a logistic function, fitted on the same texts, of its
-evidence and its number of windows.
-
-Training of the toxic dictionary is contrastive: its samples are the words that labelled toxic texts
-use far more often than ordinary ones. How often is chosen by the loss on the calibration texts.
+Zstandard dictionaries are trained on the whole texts of labelled rows: two on toxic ones and three on
+ordinary ones, each on texts of its own, so that what one holds by chance the others lack. Every
+window of a text is compressed with each (followed by a fixed carrier line that all dictionaries
+hold): its toxic length is the longer of the two, its ordinary length the shortest of the three. A
+window that all toxic dictionaries shorten and no ordinary one does is evidence. Windows are single
+words, which place the evidence exactly, and runs of eight words, which also see phrases of ordinary
+words.
+
+Pairs of lengths have log-likelihood ratios, measured on labelled texts that no dictionary was
+trained on. A text's score is a logistic function, fitted on the same texts, of the sums of these.
 """
 
 from __future__ import annotations
@@ -16,9 +17,9 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -31,18 +32,28 @@ from palimpsest.llm._kernel import row_slices
 
 #: Labelled rows of each class that a model is fitted on, at most; those with the lowest hashes.
 MAX_TOXIC, MAX_ORDINARY = 2000, 4000
-#: Characters of all sampled texts of a class, at most.
+#: Characters of the sampled texts of a class, at most.
 MAX_CHARS = 24_000_000
+#: Dictionaries of each side, and the bytes of each: at most this, and a SHAREth of what it is trained on.
+N_TOXIC, N_ORDINARY, DICTIONARY, SHARE = 2, 3, 65_536, 4
 
-_WINDOW = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"[^\W\d_]+")
 _CARRIER = "the quick brown fox jumps over the lazy dog while many windows are measured; "
-_T_BINS, _O_BINS = 20, 25
+#: Cells of single words (toxic and ordinary length) and of runs of words (difference of lengths).
+_T_BINS, _O_BINS, _RUN_LOW, _RUN_BINS = 24, 30, -16, 48
+_RUN, _STRIDE = 8, 8
+_CELLS = _T_BINS * _O_BINS + _RUN_BINS
 _MEMO = 200_000
 
 
-def windows(text: str) -> list[str]:
+def words(text: str) -> list[str]:
     """The words of a text, lower-cased, in order."""
-    return _WINDOW.findall(text.lower())
+    return _WORD.findall(text.lower())
+
+
+def runs(w: list[str]) -> list[str]:
+    """Windows of _RUN words, every _STRIDE words; the last may be shorter."""
+    return [" ".join(w[i : i + _RUN]) for i in range(0, max(1, len(w) - _RUN + _STRIDE), _STRIDE)] if w else []
 
 
 def _parameters() -> zstandard.ZstdCompressionParameters:
@@ -50,91 +61,116 @@ def _parameters() -> zstandard.ZstdCompressionParameters:
 
 
 class Distance:
-    """Maps a window to the cell of its two compressed lengths beyond the carrier's."""
-
-    def __init__(self, toxic: bytes, ordinary: bytes):
-        self._sides = []
-        for content in (toxic, ordinary):
-            d = zstandard.ZstdCompressionDict(content + _CARRIER.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(compression_params=_parameters())
-            compress = zstandard.ZstdCompressor(compression_params=_parameters(), dict_data=d).compress
-            self._sides.append((compress, len(compress(_CARRIER.encode()))))
+    """Maps windows to cells of their compressed lengths beyond the carrier's."""
+
+    def __init__(self, toxic: list[bytes], ordinary: list[bytes]):
+        self._toxic, self._ordinary = ([self._length(c) for c in side] for side in (toxic, ordinary))
         self._memo: dict[str, int] = {}
 
+    @staticmethod
+    def _length(content: bytes):
+        d = zstandard.ZstdCompressionDict(content + _CARRIER.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(compression_params=_parameters())
+        compress = zstandard.ZstdCompressor(compression_params=_parameters(), dict_data=d).compress
+        carrier = len(compress(_CARRIER.encode()))
+        return lambda data: len(compress(data)) - carrier
+
+    def lengths(self, window: str) -> tuple[int, int]:
+        """(toxic, ordinary): the longest length by a toxic dictionary, the shortest by an ordinary one."""
+        data = f" {window} {_CARRIER}".encode()
+        return max(f(data) for f in self._toxic), min(f(data) for f in self._ordinary)
+
     def cell(self, word: str) -> int:
         at = self._memo.get(word)
         if at is None:
             if len(self._memo) >= _MEMO:
                 self._memo.clear()
-            window = f" {word} {_CARRIER}".encode()
-            (t, t0), (o, o0) = self._sides
-            at = min(max(len(t(window)) - t0, 0), _T_BINS - 1) * _O_BINS + min(max(len(o(window)) - o0, 0), _O_BINS - 1)
-            self._memo[word] = at
+            t, o = self.lengths(word)
+            at = self._memo[word] = min(max(t, 0), _T_BINS - 1) * _O_BINS + min(max(o, 0), _O_BINS - 1)
         return at
 
+    def run_cell(self, run: str) -> int:
+        t, o = self.lengths(run)
+        return _T_BINS * _O_BINS + min(max(o - t - _RUN_LOW, 0), _RUN_BINS - 1)
+
     def counts(self, text: str) -> np.ndarray:
         """How many windows of ``text`` fall into each cell."""
-        return np.bincount(np.fromiter(map(self.cell, windows(text)), np.int64), minlength=_T_BINS * _O_BINS)
+        w = words(text)
+        return np.bincount(np.array([*map(self.cell, w), *map(self.run_cell, runs(w))], np.int64), minlength=_CELLS)
 
 
 @dataclass
 class Model:
-    toxic: bytes
-    ordinary: bytes
+    toxic: list[bytes]
+    ordinary: list[bytes]
+    ratio: np.ndarray
     evidence: np.ndarray
     weights: np.ndarray
 
     def features(self, counts: np.ndarray) -> np.ndarray:
         counts = np.atleast_2d(counts)
-        total = counts @ self.evidence
-        return np.stack([np.ones(len(counts)), np.minimum(total, 40) / 10, np.log1p(total), (total > 0).astype(float), np.log1p(counts.sum(1)) / 10], 1)
+        single = np.arange(_CELLS) < _T_BINS * _O_BINS
+        n, total = counts @ single, counts @ (self.evidence * single)
+        weighed = np.clip(counts @ (np.clip(self.ratio, -0.5, 6) * single), -40, 40)
+        phrases = np.clip(counts @ (np.clip(self.ratio, -1, 3) * ~single), -40, 40)
+        return np.stack([np.ones(len(counts)), np.minimum(total, 40) / 10, np.log1p(total), (total > 0).astype(float), np.log1p(n) / 10, np.minimum(total / np.sqrt(n + 1), 5), weighed / 10, phrases / 10], 1)
 
     def score(self, counts: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.features(counts) @ self.weights, -30, 30)))
 
     @classmethod
     def fit(cls, toxic: list[str], ordinary: list[str]) -> Model:
-        """Train on the even texts of each class and calibrate on the odd ones, near copies left out."""
+        """Train on two of three texts of each class and calibrate on the third, near copies left out.
+
+        With fewer than 8 texts of a class no dictionary can be trained and calibrated: every text
+        then scores the share of toxic ones.
+        """
         toxic, ordinary = _unlike(toxic), _unlike(ordinary)
-        if len(toxic) < 4 or len(ordinary) < 4:
-            return cls(b"", b"", np.zeros(_T_BINS * _O_BINS), np.array([math.log((len(toxic) + 0.5) / (len(ordinary) + 1)), 0, 0, 0, 0]))
-        use = [Counter(w for x in side[0::2] for w in set(windows(x))) for side in (toxic, ordinary)]
-        n = [len(side[0::2]) for side in (toxic, ordinary)]
-        base = _trained([" " + " ".join(w[i : i + 12]) + " " for x in ordinary[0::2] for w in [windows(x)] for i in range(0, len(w), 12)], 65536)
-        best = None
-        for least, ratio in ((3, 8), (4, 12), (5, 15), (7, 20), (10, 30)):
-            telling = {w for w, c in use[0].items() if c >= least and (c / n[0]) / ((use[1][w] + 0.5) / n[1]) >= ratio}
-            if not telling:
-                continue
-            model = cls(_trained([" " + " ".join(w for w in windows(x) if w in telling) + " " for x in toxic[0::2]], 8192), base, np.zeros(0), np.zeros(5))
-            loss = model._calibrate(toxic[1::2], ordinary[1::2])
-            if best is None or loss < best[0]:
-                best = (loss, model)
-        if best is None:
-            return cls(b"", base, np.zeros(_T_BINS * _O_BINS), np.array([math.log(n[0] / n[1]), 0, 0, 0, 0]))
-        return best[1]
-
-    def _calibrate(self, toxic: list[str], ordinary: list[str]) -> float:
+        none = np.zeros(_CELLS)
+        if min(len(toxic), len(ordinary)) < 8:
+            return cls([], [], none, none, np.array([math.log((len(toxic) + 0.5) / (len(ordinary) + 1)), *[0.0] * 7]))
+        sides = [[_trained(_trained_on(side)[i::n]) for i in range(n)] for side, n in ((toxic, N_TOXIC), (ordinary, N_ORDINARY))]
+        model = cls(*sides, none, none, np.zeros(8))
+        model._calibrate(toxic[2::3], ordinary[2::3])
+        return model
+
+    def _calibrate(self, toxic: list[str], ordinary: list[str]) -> None:
         distance = Distance(self.toxic, self.ordinary)
         t, o = (np.array([distance.counts(x) for x in side]) for side in (toxic, ordinary))
-        ratio = np.log((t.sum(0) + 0.5) / t.sum()) - np.log((o.sum(0) + 0.5) / o.sum())
-        self.evidence = np.where((ratio >= 1.5) & ((t > 0).sum(0) >= 3), ratio, 0)
-        x, y = self.features(np.concatenate([t, o])), np.repeat([1.0, 0.0], [len(t), len(o)])
-        self.weights = _logistic(x, y)
-        p = np.clip(1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30))), 1e-9, 1 - 1e-9)
-        return float(-np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
-
-
-def _trained(samples: list[str], size: int) -> bytes:
-    """A trained dictionary's content; the samples themselves where there are too few to train on."""
-    data = [s.encode() for s in samples if len(s) >= 8]
-    total = sum(map(len, data))
-    if len(data) >= 20 and total >= 2 * size:
-        try:
-            return zstandard.train_dictionary(size, data).as_bytes()
-        except zstandard.ZstdError:
-            pass
-    return b"".join(dict.fromkeys(data))[-size:]
+        self.ratio = np.zeros(_CELLS)
+        for part in (slice(_T_BINS * _O_BINS), slice(_T_BINS * _O_BINS, _CELLS)):
+            a, b = t[:, part].sum(0), o[:, part].sum(0)
+            self.ratio[part] = np.log((a + 0.5) / (a.sum() + 1)) - np.log((b + 0.5) / (b.sum() + 1))
+        self.ratio[(t > 0).sum(0) + (o > 0).sum(0) < 3] = 0
+        self.evidence = np.where((self.ratio >= 1.5) & ((t > 0).sum(0) >= 3), self.ratio, 0)
+        self.weights = _logistic(self.features(np.concatenate([t, o])), np.repeat([1.0, 0.0], [len(t), len(o)]))
+
+
+def _trained_on(texts: list[str]) -> list[str]:
+    return [x for i, x in enumerate(texts) if i % 3 < 2]
+
+
+def _sample(text: str) -> bytes:
+    """The words of a whole text; what it repeats, as a row of equal words or a whole run, stands once.
+
+    The trainer gives up in the middle of a long passage from which there is nothing more to learn.
+    """
+    w = [x for x, _ in groupby(words(text))]
+    return " ".join(dict.fromkeys(" ".join(w[i : i + _RUN]) for i in range(0, len(w), _RUN))).encode()
+
+
+def _trained(texts: list[str]) -> bytes:
+    """The content of a dictionary trained on whole texts, each of them a sample."""
+    data = [_sample(x) for x in texts]
+    size = min(DICTIONARY, max(1024, sum(map(len, data)) // SHARE))
+    # zstandard wants five samples of eight bytes; a handful of texts is given by halves, or with spaces.
+    while len(data) < 8:
+        data = [h.ljust(8) for x in data for h in (x[: len(x) // 2], x[len(x) // 2 :])]
+    try:
+        content = zstandard.train_dictionary(size, data, k=16, d=6).as_bytes()
+    except zstandard.ZstdError:  # too little text for any choice: all of it is the dictionary
+        return b" ".join(data)
+    return content
 
 
 def _unlike(texts: list[str]) -> list[str]:
@@ -142,7 +178,7 @@ def _unlike(texts: list[str]) -> list[str]:
     seen: set[tuple[int, int]] = set()
     out = []
     for text in texts:
-        w = windows(text)
+        w = words(text)
         triples = np.array([zlib.crc32(" ".join(w[i : i + 3]).encode()) for i in range(max(1, len(w) - 2))], np.uint64)
         keys = [(m, int(((triples * np.uint64(m)) & np.uint64(0xFFFFFFFF)).min())) for m in (2654435761, 2246822519, 3266489917, 668265263)]
         if not seen.intersection(keys):
@@ -151,7 +187,7 @@ def _unlike(texts: list[str]) -> list[str]:
     return out
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 5e-1) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -166,11 +202,14 @@ def _held_out(doc: F.Column) -> F.Column:
     return F.coalesce(F.crc32(doc.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY) -> Model:
+def fit(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY, max_chars: int = MAX_CHARS) -> Model:
     """Fit on labelled rows whose crc32(id as text) mod 5 is not 0.
 
     Of each class at most ``max_toxic`` or ``max_ordinary`` ids are used, those with the lowest
-    hashes, and of their texts at most MAX_CHARS characters. An id labelled both ways is left out.
+    hashes; the sample of a class ends before the text with which it would exceed ``max_chars``
+    characters. An id labelled both ways is left out, as are null ids, labels and texts; of rows with
+    one id the least text counts. Without labels of both classes every text scores their prior.
+    Extra columns of both tables are never read.
     """
     marked = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -187,9 +226,9 @@ def fit(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: s
     sides: list[list[str]] = [[], []]
     chars = [0, 0]
     for row in rows.orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator():
-        if chars[row.toxic] + len(row.text) <= MAX_CHARS:
+        chars[row.toxic] += len(row.text)
+        if chars[row.toxic] <= max_chars:
             sides[row.toxic].append(row.text)
-            chars[row.toxic] += len(row.text)
     return Model.fit(sides[1], sides[0])
 
 
@@ -215,7 +254,11 @@ def score_toxicity(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_
 
 
 def drop_toxic(df: DataFrame, model: Model, *, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``df`` that score below ``threshold``, with all their columns unchanged."""
+    """The rows of ``df`` that score below ``threshold``, with all their columns unchanged.
+
+    A null or empty text has the score of no evidence; the text may be of any type that casts to a
+    string; repeated rows share their fate; no rows give no rows.
+    """
     at = df.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +266,7 @@ def drop_toxic(df: DataFrame, model: Model, *, text_col: str = "text", threshold
         for batch in batches:
             if batch.num_rows:
                 texts = pc.cast(batch.column(at), pa.string()).to_pylist()
-                p = np.concatenate([model.score(distance.counts(x or "")) for x in texts])
+                p = model.score(np.array([distance.counts(x or "") for x in texts]))
                 yield batch.filter(pa.array(p < threshold))
 
     return df.mapInArrow(keep, df.schema)
