@@ -1,13 +1,21 @@
 """Personal data by patterns, and terms that give it away by corpus co-occurrence.
 
-Entities are the values that four patterns find: emails, ip addresses, payment cards and phones. A
-term t discloses an entity c if their pointwise mutual information over the documents of the corpus,
-log p(c,t) / p(c)p(t), reaches the information content of c, -log p(c), divided by ``alpha``: the
-closer alpha is to 1, the nearer t must come to determining c. Such terms are marked wherever they
-stand, also in documents without that entity, to be replaced by a general label or removed.
-
-Everything here is DataFrame expressions. The spans of a text are worked out in its own row; only
-terms of documents with an entity that several documents share are counted against the corpus.
+Entities are the values that four patterns find: emails, ip addresses, payment cards and phones, and
+with each the class that it belongs to: an email's domain, an ip's first three parts, the first six
+digits of a card or phone. A term t near an entity c (on its line, among the next words on either
+side) is held against the corpus: p(c|t) is the share of the documents with t in which it stands near
+c, shrunk towards p(c) as if ``shrink`` documents more had been seen, so that rare entities count,
+with less certainty. The term discloses c if
+
+- their pointwise mutual information, log p(c|t) / p(c), reaches the information content of c,
+  -log p(c), divided by ``alpha``, and
+- who knows t is left with at most ``residual_bits`` of uncertainty about c, -log p(c|t).
+
+Such terms are marked wherever they stand, also in documents without that entity, to be replaced by a
+general label or removed.
+
+Everything here is DataFrame expressions. Spans, and the terms near them, are worked out in their own
+row; what is shuffled are counts of terms near entities, combined beforehand.
 """
 
 from __future__ import annotations
@@ -15,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm._util import among, settle
+from palimpsest.llm._util import BROADCAST_IDS, among, fresh, settle
 
 #: Kinds of the base spans, in their order; spans of disclosing terms come last.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -112,51 +120,101 @@ def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
 
 
-def disclosing_terms(df: DataFrame, *, alpha: float = 1.25, support: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, h, spans): for each text (h is its hash) the spans of terms that disclose an entity, its own or not.
+def _class_of(kind: str, value: Column) -> Column:
+    """The class of an entity, itself an entity of a coarser kind."""
+    if kind == "email":
+        return F.concat(F.lit("@"), F.substring_index(value, "@", -1))
+    if kind == "ip":
+        return F.concat(F.substring_index(value, ".", 3), F.lit("."))
+    return F.concat(F.substring(F.regexp_replace(value, r"[^0-9]", ""), 1, 6), F.lit("*"))
+
+
+def _terms(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(_TERM), F.lit(0)), F.lower)
+
 
-    Counted are documents: entities and pairs of fewer than ``support`` give no evidence. Rows of
-    equal id and text count once; a null id is an id of its own.
+def _near(kind: str, reach: int) -> Column:
+    """(entity, terms near it) of all entities of one kind in column ``text``, with their classes.
+
+    The text is split by the kind's pattern once: what lies between two matches stands before one and
+    after the other, so that the work is linear however many there are.
+    """
+    pattern = F.lit(_PATTERNS[kind])
+    found, between = F.regexp_extract_all("text", pattern, F.lit(0)), F.split("text", _PATTERNS[kind], -1)
+    if kind != "email":  # of all kinds, emails alone hold letters
+        between = F.transform(between, lambda x: F.when(F.contains(x, F.lit("@")), F.regexp_replace(x, _PATTERNS["email"], "@")).otherwise(x))
+    before = F.transform(between, lambda x: F.reverse(F.slice(F.reverse(_terms(F.substring_index(x, "\n", -1))), 1, reach)))
+    after = F.transform(between, lambda x: F.slice(_terms(F.substring_index(x, "\n", 1)), 1, reach))
+    n = F.size(found)
+    zipped = F.arrays_zip(found.alias("v"), F.slice(before, 1, n).alias("a"), F.slice(after, 2, n).alias("b"))
+    sound = F.filter(zipped, lambda z: _valid(kind, z["v"]))
+    said = F.transform(sound, lambda z: F.struct(F.array(F.concat(F.lit(kind + ":"), z["v"]), F.concat(F.lit(kind + ":"), _class_of(kind, z["v"]))).alias("c"), F.array_distinct(F.concat(z["a"], z["b"])).alias("t")))
+    guard = F.contains("text", F.lit("@" if kind == "email" else "+" if kind == "phone" else "."  if kind == "ip" else ""))
+    return F.when(guard & (n > 0), said).otherwise(F.array().cast("array<struct<c:array<string>,t:array<string>>>"))
+
+
+_MARK = "\x01"
+
+
+def disclosure(df: DataFrame, *, alpha: float = 1.25, shrink: float = 1.0, residual_bits: float = 1.0, reach: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(c, t, n_c, n_t, n_ct, n): each pair of an entity and a term that discloses it, with the counts of documents.
+
+    n_ct are the documents in which t stands near c, n_c and n_t those that hold either, n all. Every
+    row counts as a document. Without entities, or in an empty table, there are no pairs.
     """
     rows = _rows(df, id_col, text_col)
-    hinted = rows.where(F.col("text").rlike(_HINT))
-    key = F.xxhash64("doc_id", "h")
-    entities = entity_spans(hinted).where(F.size("base") > 0).select(key.alias("d"), F.explode(F.array_distinct(F.transform("base", lambda x: F.struct(x["k"].alias("k"), x["v"].alias("v"))))).alias("c")).distinct()
-    shared = entities.groupBy("c").agg(F.count(F.lit(1)).alias("n_c")).where(F.col("n_c") >= support)
-    carriers = entities.join(shared, "c")
-    texts = hinted.withColumn("d", key).join(carriers.select("d").distinct(), "d", "left_semi").dropDuplicates(["d"])
-
-    def tokens_of(some: DataFrame) -> DataFrame:
-        tokens = _matches(entity_spans(some), "text", _TERM, 4, "words").select(
-            F.xxhash64("doc_id", "h").alias("d"), "doc_id", "h",
-            F.explode(F.filter("words", lambda w: ~F.exists("base", lambda b: (w["s"] < b["e"]) & (w["e"] > b["s"])))).alias("w"),
-        )
-        return tokens.select("d", "doc_id", "h", F.lower("w.v").alias("t"), F.struct("w.s", "w.k", "w.e").alias("span"))
-
-    pairs = tokens_of(texts).select("d", "t").distinct().join(carriers, "d").groupBy("c", "n_c", "t").agg(F.count(F.lit(1)).alias("n_ct")).where(F.col("n_ct") >= support)
-    frequency = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n_t"))
-    total = rows.agg(F.count(F.lit(1)).alias("n"))
-    # One row of one number is joined to every pair.
-    scored = pairs.join(frequency.where(F.col("n_t") >= support), "t").crossJoin(F.broadcast(total))
-    content = F.log2(F.col("n") / F.col("n_c"))
-    mutual = F.log2(F.col("n_ct").cast("double") * F.col("n") / (F.col("n_c").cast("double") * F.col("n_t")))
-    telling = settle(scored.where((content > 0) & (mutual * alpha >= content)).select("t").distinct())
-    said = rows.select(key.alias("d"), F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)), F.lower))).alias("t"))
+    near = rows.where(F.col("text").rlike(_HINT)).select(F.concat(*[_near(kind, reach) for kind in KINDS[:4]]).alias("near")).where(F.size("near") > 0)
+    pair = F.flatten(F.transform("near", lambda x: F.flatten(F.transform(x["c"], lambda c: F.transform(x["t"], lambda t: F.concat(c, F.lit(_MARK), t))))))
+    entities = near.select(F.explode(F.array_distinct(F.flatten("near.c"))).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n_c"))
+    pairs = near.select(F.explode(F.array_distinct(pair)).alias("ct")).groupBy("ct").agg(F.count(F.lit(1)).alias("n_ct"))
+    pairs = pairs.select(F.substring_index("ct", _MARK, 1).alias("c"), F.substring_index("ct", _MARK, -1).alias("t"), "n_ct")
+    # A term is in n_ct documents at least, which bounds p(c|t): pairs that cannot reach it go before the corpus is counted.
+    pairs = settle(pairs.join(entities, "c"))
+    candidates = settle(pairs.select("t").distinct())
+    said = rows.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("t"))
+    few = candidates.count() <= BROADCAST_IDS
+    if few:  # counted above: their words only are aggregated
+        said = said.join(F.broadcast(candidates), "t", "left_semi")
+    frequency = said.groupBy("t").agg(F.count(F.lit(1)).alias("n_t"))
+    n = rows.count()
+    p_c = F.col("n_c") / F.lit(max(n, 1))
+    p = (F.col("n_ct") + F.lit(shrink) * p_c) / (F.col("n_t") + F.lit(shrink))
+    content, mutual = -F.log2(p_c), F.log2(p / p_c)
+    return pairs.join(frequency, "t").where((content > 0) & (mutual * alpha >= content) & (-F.log2(p) <= residual_bits)).select("c", "t", "n_c", "n_t", "n_ct", F.lit(n).cast("long").alias("n"))
+
+
+def disclosing_terms(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:
+    """(doc_id, h, terms): for each text (h is its hash) the spans of terms that disclose an entity, its own or not.
+
+    ``thresholds`` are those of ``disclosure``. Texts without such terms, null and empty ones among
+    them, have no row; a null id is an id of its own; rows of equal id and text have one row. Work on
+    a text is linear in its length. Columns other than the two named are never read.
+    """
+    rows = _rows(df, id_col, text_col).withColumn("d", F.xxhash64("doc_id", "h"))
+    telling = settle(disclosure(df, id_col=id_col, text_col=text_col, **thresholds).select("t").distinct())
+    said = rows.select("d", F.explode(F.array_distinct(_terms(F.col("text")))).alias("t"))
     having = settle(among(said, telling, ["t"]).select("d").distinct())
-    return among(tokens_of(among(rows.withColumn("d", key), having, ["d"])), telling, ["t"]).groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("span")).alias("terms"))
+    some = among(rows, having, ["d"])
+    tokens = _matches(entity_spans(some), "text", _TERM, 4, "words").select(
+        "doc_id", "h",
+        F.explode(F.filter("words", lambda w: ~F.exists("base", lambda b: (w["s"] < b["e"]) & (w["e"] > b["s"])))).alias("w"),
+    )
+    tokens = tokens.select("doc_id", "h", F.lower("w.v").alias("t"), F.struct("w.s", "w.k", "w.e").alias("span"))
+    return among(tokens, telling, ["t"]).groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("span")).alias("terms"))
 
 
-def find_pii(df: DataFrame, *, alpha: float = 1.25, support: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_pii(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:
     """Personal data in every text: one row per input row, offsets in code points, ends exclusive.
 
     doc_id, n_email, n_ip, n_card, n_phone, base_sha256 (over the spans of those kinds), spans (all,
     with those of kind term), n_term. ``spans`` lists kind:start:end by start, then kind.
+    ``thresholds`` are those of ``disclosure``.
 
     A null or empty text has no spans; a null id is passed on; repeated rows each give a row. No rows
     give no rows. Columns other than the two named are never read.
     """
     rows = entity_spans(_rows(df, id_col, text_col)).drop("text")
-    terms = disclosing_terms(df, alpha=alpha, support=support, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "terms")
+    terms = disclosing_terms(df, id_col=id_col, text_col=text_col, **thresholds).select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "terms")
     joined = rows.join(terms, rows["doc_id"].eqNullSafe(terms["_d"]) & (rows["h"] == terms["_h"]), "left")
     names = F.array(*[F.lit(k) for k in KINDS])
     said = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
@@ -167,13 +225,15 @@ def find_pii(df: DataFrame, *, alpha: float = 1.25, support: int = 3, id_col: st
     return joined.select("doc_id", *counts, F.sha2(said(F.col("base")).cast("binary"), 256).alias("base_sha256"), said(every).alias("spans"), n_term.alias("n_term"))
 
 
-def sanitize(df: DataFrame, *, mode: str = "generalise", alpha: float = 1.25, support: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with every entity and disclosing term of the text replaced by ``<KIND>``, or removed.
+def sanitize(df: DataFrame, *, mode: str = "generalise", id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:
+    """``df`` with every entity and disclosing term of the text replaced by ``<KIND>``, or removed (mode "remove").
 
-    All rows and columns are kept. Of overlapping spans the first is replaced.
+    All rows and columns are kept, whatever their names, repeated rows too; a null text stays null, an
+    empty one empty, and a null id is an id of its own. Of overlapping spans the first is replaced.
+    No rows give no rows.
     """
     rows = entity_spans(_rows(df, id_col, text_col)).dropDuplicates(["doc_id", "h"])
-    terms = disclosing_terms(df, alpha=alpha, support=support, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "terms")
+    terms = disclosing_terms(df, id_col=id_col, text_col=text_col, **thresholds).select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "terms")
     short = F.transform("base", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
     joined = rows.join(terms, rows["doc_id"].eqNullSafe(terms["_d"]) & (rows["h"] == terms["_h"]), "left").withColumn("all", F.array_sort(F.concat(short, F.coalesce("terms", F.array().cast("array<struct<s:int,k:int,e:int>>")))))
     labels = F.array(*[F.lit(f"<{k.upper()}>" if mode == "generalise" else "") for k in KINDS])
@@ -184,7 +244,7 @@ def sanitize(df: DataFrame, *, mode: str = "generalise", alpha: float = 1.25, su
 
     first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     done = F.aggregate("all", first, step, lambda a: F.concat(F.array_join(a["out"], ""), F.col("text").substr(a["at"] + 1, F.length("text"))))
-    clean = joined.where(F.size("all") > 0).select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), done.alias("_clean"))
-    out = df.join(clean, df[id_col].cast("long").eqNullSafe(clean["_d"]) & (F.xxhash64(F.coalesce(df[text_col].cast("string"), F.lit(""))) == clean["_h"]), "left")
-    return out.select(*[F.coalesce("_clean", df[c]).alias(c) if c == text_col else df[c] for c in df.columns])
-
+    d, h, clean = fresh(df.columns, "_d", "_h", "_clean")
+    found = joined.where(F.size("all") > 0).select(F.col("doc_id").alias(d), F.col("h").alias(h), done.alias(clean))
+    out = df.join(found, df[id_col].cast("long").eqNullSafe(found[d]) & (F.xxhash64(F.coalesce(df[text_col].cast("string"), F.lit(""))) == found[h]), "left")
+    return out.select(*[F.coalesce(found[clean], df[c]).alias(c) if c == text_col else df[c] for c in df.columns])
