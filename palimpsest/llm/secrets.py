@@ -5,6 +5,11 @@ Source and configuration text is lexed into name-literal pairs: ``name = "litera
 of constants assigned earlier in the same text are resolved, so that a literal is charged to every
 name that it reaches. A literal counts as a secret if the most sensitive of its target names, weighed
 by how little the literal looks like a word or a placeholder, reaches a threshold.
+
+A value is kept as what weighing needs, its length, the counts of its characters and its beginning,
+together with references to its literals. Constants can so be passed on at any length, and a text is
+lexed in time linear in its own: an operator within a value that another name has already taken gets
+the part up to the next such name, and so no character is read more than twice.
 """
 
 from __future__ import annotations
@@ -31,6 +36,10 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 _OPERATOR = re.compile(r"(?::=|=>|:|=)(?!=)[ \t]*")
 _IN_NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
 _TERM = re.compile(r"""(?:[bruf]{0,2}"((?:[^"\\\n]|\\.)*)"|[bru]?'((?:[^'\\\n]|\\.)*)'|\$\{?([A-Za-z_]\w*)\}?|([^\s,;"'(){}<>\[\]]+))[ \t]*(\+[ \t]*)?""")
+#: What an operator within another name's value assigns: a word, without what joins it to the next pair.
+_INNER = re.compile(r"""["']?([^\s,;"'(){}<>\[\]&?|]*)""")
+_LOWER, _UPPER, _DIGITS = (frozenset(x) for x in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"))
+_PLAIN, _HEX_DIGITS = _LOWER | _UPPER | _DIGITS, frozenset("0123456789abcdef")
 _SPLIT_NAME = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*")
 
@@ -53,21 +62,59 @@ def name_weight(name: str) -> float:
     return 1 - miss
 
 
+class Value:
+    """A literal, or several joined: length, character counts, the first characters, and a tree of spans."""
+
+    __slots__ = ("length", "counts", "head", "spans")
+
+    HEAD = 64
+
+    def __init__(self, length: int, counts: dict[str, int], head: str, spans: list):
+        self.length, self.counts, self.head, self.spans = length, counts, head, spans
+
+    @classmethod
+    def literal(cls, text: str, span: tuple[int, int] | None = None) -> Value:
+        return cls(len(text), Counter(text), text[: cls.HEAD], [span] if span else [])
+
+    @classmethod
+    def joined(cls, parts: list[Value]) -> Value:
+        if len(parts) == 1:
+            return parts[0]
+        counts: Counter = Counter()
+        for p in parts:
+            counts.update(p.counts)
+        length = sum(p.length for p in parts)
+        while length >> 62:  # a constant that was doubled again and again: shares are all that counts
+            counts = {c: n + 1 >> 1 for c, n in counts.items()}
+            length = sum(counts.values())
+        head = ""
+        for p in parts:  # the beginning of a part tells all of it, or enough
+            head = (head + p.head)[: cls.HEAD]
+            if len(head) == cls.HEAD:
+                break
+        return cls(length, counts, head, [p.spans for p in parts])
+
+    def weight(self) -> float:
+        """0 to 1: how much the value looks like random material of some length."""
+        n, seen = self.length, self.counts
+        if n < 8 or len(seen) < 4 or any(c.isspace() for c in seen):
+            return 0.0
+        if n <= self.HEAD and self.head.lower().strip("<>{}[]$%_-. ") in PLACEHOLDERS:
+            return 0.0
+        if self.head.startswith(("http://", "https://", "/", "./")) and "@" not in seen:
+            return 0.2
+        bits = -sum(c / n * math.log2(c / n) for c in seen.values())
+        kinds = sum(any(test(c) for c in seen) for test in (_LOWER.__contains__, _UPPER.__contains__, _DIGITS.__contains__, lambda c: c not in _PLAIN))
+        plain = kinds == 1 and not all(c.isdigit() for c in seen) and not (n >= 16 and seen.keys() <= _HEX_DIGITS)
+        return min(1.0, bits / 3.0) * min(1.0, n / 10) * (0.5 if plain else 1.0)
+
+
 def value_weight(value: str) -> float:
-    """0 to 1: how much a literal looks like random material of some length."""
-    n = len(value)
-    if n < 8 or any(c.isspace() for c in value) or value.lower().strip("<>{}[]$%_-. ") in PLACEHOLDERS or len(set(value)) < 4:
-        return 0.0
-    if value.startswith(("http://", "https://", "/", "./")) and "@" not in value:
-        return 0.2
-    bits = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    words = 0.5 if kinds == 1 and not value.isdigit() and not _HEX.fullmatch(value) else 1.0
-    return min(1.0, bits / 3.0) * min(1.0, n / 10) * words
-
-
-def _name_before(text: str, end: int) -> str:
-    """The name that ends before an operator at ``end``, a quote and any blanks between; empty if none."""
+    return Value.literal(value).weight()
+
+
+def _name_before(text: str, end: int) -> tuple[int, str]:
+    """Start and text of the name that ends before an operator at ``end``, a quote and any blanks between; empty if none."""
     while end and text[end - 1] in " \t":
         end -= 1
     if end and text[end - 1] in "\"'":
@@ -76,42 +123,39 @@ def _name_before(text: str, end: int) -> str:
     while start and text[start - 1] in _IN_NAME:
         start -= 1
     name = text[start:end]
-    return name if name and (name[0].isalpha() or name[0] == "_") and not (start and text[start - 1] == "$") else ""
-
-
-def assignments(text: str) -> Iterator[tuple[str, str, list]]:
-    """(name, value, its literals) of each assignment, with constants propagated, in order.
-
-    Literals are a tree whose leaves are spans (start, end) and whose nodes are lists; values share
-    those of the constants in them, so that one that grows by itself stays linear. Of a constant
-    65,536 characters are passed on to be weighed, and all of its literals.
-    """
-    known: dict[str, tuple[str, list]] = {}
-    for op in _OPERATOR.finditer(text):
-        name = _name_before(text, op.start())
-        if not name:
-            continue
-        at, value, spans = op.end(), [], []
-        while term := _TERM.match(text, at):
-            plain = term[1] if term[1] is not None else term[2]
-            word = term[3] or term[4]
-            if plain is not None:
-                value.append(plain)
-                spans.append(term.span(1 if term[1] is not None else 2))
-            elif word in known and _IDENTIFIER.fullmatch(word):
-                value.append(known[word][0])
-                spans.append(known[word][1])
-            elif term[4]:
-                value.append(word)
-                spans.append(term.span(4))
-            at = term.end()
-            if not term[5]:
-                break
-        if whole := "".join(value):
-            known[name] = (whole[:65536], spans)
+    return start, name if name and (name[0].isalpha() or name[0] == "_") and not (start and text[start - 1] == "$") else ""
+
+
+def assignments(text: str) -> Iterator[tuple[str, Value]]:
+    """(name, value) of each assignment, with constants propagated, in order."""
+    known: dict[str, Value] = {}
+    named = [(start, op.end(), name) for op in _OPERATOR.finditer(text) for start, name in (_name_before(text, op.start()),) if name]
+    reached = 0
+    for i, (_, at, name) in enumerate(named):
+        if at < reached:
+            begin, until = _INNER.match(text, at, max(at, named[i + 1][0] if i + 1 < len(named) else len(text))).span(1)
+            value = Value.literal(text[begin:until], (begin, until)) if until > begin else None
+        else:
+            parts = []
+            while term := _TERM.match(text, at):
+                plain = term[1] if term[1] is not None else term[2]
+                word = term[3] or term[4]
+                if plain is not None:
+                    parts.append(Value.literal(plain, term.span(1 if term[1] is not None else 2)))
+                elif word in known and _IDENTIFIER.fullmatch(word):
+                    parts.append(known[word])
+                elif term[4]:
+                    parts.append(Value.literal(word, term.span(4)))
+                at = term.end()
+                if not term[5]:
+                    break
+            reached = max(reached, at)
+            value = Value.joined(parts) if parts else None
+        if value and value.length:
+            known[name] = value
             if "." in name:
-                known[name.rpartition(".")[2]] = known[name]
-            yield name, whole, spans
+                known[name.rpartition(".")[2]] = value
+            yield name, value
 
 
 def find_secrets(text: str, threshold: float = 0.5) -> tuple[list[tuple[int, int, int]], float]:
@@ -122,12 +166,12 @@ def find_secrets(text: str, threshold: float = 0.5) -> tuple[list[tuple[int, int
     seen: dict[int, list] = {}
     top = 0.0
     if "=" in text or ":" in text:
-        for name, value, spans in assignments(text):
+        for name, value in assignments(text):
             if weight := name_weight(name):
-                score = weight * value_weight(value)
+                score = weight * value.weight()
                 top = max(top, score)
                 if score >= threshold:
-                    todo = [spans]
+                    todo = [value.spans]
                     while todo:
                         node = todo.pop()
                         if isinstance(node, tuple):
