@@ -1,14 +1,18 @@
 """License scan by conditional compression.
 
-A candidate block, its paragraphs, lines and sentences are each compressed alone and, for each license,
-with that license's texts as a raw zstandard dictionary. Licenses are ranked by how much their
-dictionary shortens such a piece; all that shorten it enough are then compared with it word by word,
-and each whose wording differs little enough is a finding, with the words that differ.
+Every text is read in short overlapping windows, each compressed alone and with all templates as one raw
+zstandard dictionary: windows that this shortens by some bytes, wherever they stand in a line, make up
+the candidate regions. Within a region each license's texts are looked for by their pairs of words;
+the blocks found so are compressed with each license's own texts as a dictionary, and the licenses
+ranked by how much that saves. All that save enough are then compared word by word, and each whose
+wording differs little enough is a finding, with the words that differ.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -29,6 +33,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+        "Grant of Copyright License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.",
     ),
     "BSD-2-Clause": (
         "Released under the BSD 2-Clause License.",
@@ -65,12 +70,11 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 #: Words that tell a license from its relatives: a block must have the same ones (fixed values).
 TELLING = {"affero", "lesser", "apache", "mozilla", "mit", "bsd", "isc", "gnu", "cc0", "noncommercial", "nc", "sharealike", "sa", "nd", "noderivatives", "unlicense", "clause"}
 
-_CUE = re.compile(r"licen[sc]e|copyright|permission is|permission to|redistribut|warrant|public domain|spdx|waived all|\bcc[ -]?(?:by|0)\b", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+|[0-9]+(?:\.[0-9]+)*")
 #: Numbers and letters of list items, which copies of a text leave out or change.
 _ITEM = re.compile(r"\b[0-9a-z][.)]\s+(?=redistributions|neither)")
-_SENTENCE = re.compile(r"(?<=[.!?])\s+")
-_GAP = 2
+#: Code points of a window and of its step; bytes that the templates must save of it; the gap that regions reach over.
+_WINDOW, _STEP, _SAVED, _REACH = 64, 32, 8, 200
 #: Lines that are a license's title and nothing else, as words (fixed values).
 TITLES = {
     "MIT": ("mit license", "the mit license", "the mit license mit"),
@@ -93,116 +97,124 @@ def wording(text: str) -> list[str]:
     return [w for w, _, _ in _words(text)]
 
 
-def runs_of(texts: list[list[str]]) -> set[tuple[str, ...]]:
-    return {tuple(w[i : i + 3]) for w in texts for i in range(len(w) - 2)}
+def _flat(text: str) -> str:
+    """Lower-cased, with every white space a blank: a text in which all places stay the same."""
+    low = "".join(c.lower() if c.isascii() else c for c in text) if not text.isascii() else text.lower()
+    return low.translate(_BLANKS)
 
 
-def blocks(text: str, known: set[tuple[str, ...]] = frozenset()) -> Iterator[list[tuple[int, int]]]:
-    """Code-point ranges of the lines of each candidate block.
+_BLANKS = dict.fromkeys(map(ord, "\t\n\x0b\x0c\r"), " ")
 
-    It has a line with a cue at least, and goes on both ways over lines that have one or share three
-    words in a row with ``known``, over blank lines and at most two others between.
-    """
-    if not _CUE.search(text):
-        return
-    lines, at = [], 0
-    for line in text.split("\n"):
-        lines.append((at, at + len(line)))
-        at += len(line) + 1
-    cues = [bool(_CUE.search(text, *r)) for r in lines]
-
-    def reach(n: int, step: int, stop: int) -> int:
-        last, missed = n, 0
-        while n + step != stop and missed <= _GAP:
-            n += step
-            if cues[n] or not known.isdisjoint(runs_of([wording(text[slice(*lines[n])])])):
-                last, missed = n, 0
-            elif text[slice(*lines[n])].strip():
-                missed += 1
-        return last
-
-    done = -1
-    for n, cue in enumerate(cues):
-        if cue and n > done:
-            low, done = reach(n, -1, done), reach(n, 1, len(lines))
-            yield lines[low : done + 1]
-
-
-def pieces(text: str, lines: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Ranges to be looked at in a block: the whole, runs of lines about a cue up to a blank one, lines and sentences."""
-    out = [(lines[0][0], lines[-1][1])]
-    start = end = None
-    missed = 0
-    for a, b in [*lines, (0, 0)]:
-        if a < b and _CUE.search(text, a, b):
-            out.append((a, b))
-            cuts = [a, *(m.end() for m in _SENTENCE.finditer(text, a, b)), b]
-            out += [(c, d) for c, d in zip(cuts, cuts[1:], strict=False) if _CUE.search(text, c, d)]
-            # A text within a longer line: as many sentences as the longest template has.
-            out += [(c, d) for c, d in zip(cuts, [*cuts[4:], *[b] * 4], strict=False) if len(cuts) > 5 and c < d and _CUE.search(text, c, d)]
-            start, end, missed = (a if start is None else start), b, 0
-        elif start is not None:
-            missed += 1
-            if missed > _GAP or not text[a:b].strip():
-                out.append((start, end))
-                start, missed = None, 0
-    return list(dict.fromkeys(out))
+
+def _raw(texts: tuple[str, ...]) -> zstandard.ZstdCompressionDict:
+    return zstandard.ZstdCompressionDict("\n".join(texts).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
 class Scanner:
-    """Ranks the licenses for a block and confirms the winner."""
+    """Finds candidate blocks, ranks the licenses for each and confirms those that save enough."""
 
     def __init__(self, templates: dict[str, tuple[str, ...]], agreement: float, level: int = 19):
         self._plain = zstandard.ZstdCompressor(level=level, write_content_size=False)
         self._agreement = agreement
-        self._licenses = []
-        self.known = runs_of([wording(t) for texts in templates.values() for t in texts])
+        self._licenses, self._texts, self._pairs = [], [], defaultdict(list)
+        whole = {name: (f"SPDX-License-Identifier: {name}", *texts) for name, texts in templates.items()}
+        fast = zstandard.ZstdCompressionParameters.from_level(3, write_content_size=0, write_dict_id=0, min_match=6, window_log=18)
+        shared = _raw(tuple(_flat(t) for texts in whole.values() for t in texts))
+        shared.precompute_compress(compression_params=fast)
+        self._alone = zstandard.ZstdCompressor(compression_params=fast).compress
+        self._given = zstandard.ZstdCompressor(compression_params=fast, dict_data=shared).compress
         self._titles = {t: name for name in templates for t in TITLES.get(name, ())}
-        for name, texts in templates.items():
-            raw = zstandard.ZstdCompressionDict("\n".join(texts).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        self._memo: dict[str, dict[str, float]] = {}
+        for name, texts in whole.items():
+            raw = _raw(texts)
             raw.precompute_compress(level=level)
-            self._licenses.append((name, zstandard.ZstdCompressor(level=level, dict_data=raw, write_content_size=False), [wording(t) for t in texts]))
-
-    def ranking(self, block: str) -> list[tuple[float, str, list[list[str]]]]:
-        """(share of the block's compressed length that is saved, license, its texts' words), best first."""
+            self._licenses.append((name, zstandard.ZstdCompressor(level=level, dict_data=raw, write_content_size=False)))
+            for text in texts:
+                want = wording(text)
+                for pair in set(zip(want, want[1:], strict=False)):
+                    self._pairs[pair].append(len(self._texts))
+                self._texts.append((name, want))
+
+    def regions(self, text: str) -> list[tuple[int, int]]:
+        """Ranges about the windows that the templates shorten by _SAVED bytes more than they shorten themselves."""
+        low, found = _flat(text), []
+        for at in range(0, max(1, len(low) - _STEP), _STEP):
+            window = low[at : at + _WINDOW].encode("utf-8", "surrogatepass")
+            given = len(self._given(window))
+            if given + _SAVED <= len(window) + 9 and len(self._alone(window)) - given >= _SAVED:
+                start, end = max(0, at - _WINDOW), at + 2 * _WINDOW
+                if found and start <= found[-1][1] + _REACH:
+                    found[-1][1] = end
+                else:
+                    found.append([start, end])
+        return [(a, min(b, len(text))) for a, b in found]
+
+    def ranking(self, block: str) -> dict[str, float]:
+        """License -> share of the block's compressed length that its dictionary saves, best first."""
+        if block in self._memo:
+            return self._memo[block]
         data = block.encode("utf-8", "surrogatepass")
         alone = len(self._plain.compress(data))
-        ranked = [(1 - len(c.compress(data)) / alone, name, texts) for name, c, texts in self._licenses]
-        return sorted(ranked, key=lambda r: (-r[0], r[1]))
+        ranked = sorted(((1 - len(c.compress(data)) / alone, name) for name, c in self._licenses), key=lambda r: (-r[0], r[1]))
+        out = {name: gain for gain, name in ranked}
+        if len(block) <= 1000 and len(self._memo) < 10_000:
+            self._memo[block] = out
+        return out
 
-    def confirm(self, block: str, texts: list[list[str]]) -> tuple[int, int, float, int, str] | None:
-        """(start, end, agreement, differing words, the differences) with the closest text, if it is close enough."""
-        placed, best = _words(block), None
+    def confirm(self, placed: list[tuple[str, int, int]], want: list[str]) -> tuple[int, int, float, int, str, int] | None:
+        """(start, end, agreement, differing words, the differences, words read) if the wording is close enough."""
         have = [w for w, _, _ in placed]
-        for want in texts:
-            m = SequenceMatcher(None, have, want, autojunk=False)
-            equal = [b for b in m.get_matching_blocks() if b.size]
-            share = sum(b.size for b in equal) / len(want)
-            if share < self._agreement:
-                continue
-            inside = [op for op in m.get_opcodes() if op[0] != "equal" and not (op[0] == "delete" and op[3] in (0, len(want)))]
-            minus = [w for _, a, b, _, _ in inside for w in have[a:b]]
-            plus = [w for _, _, _, a, b in inside for w in want[a:b]]
-            tells = [w for w in (*minus, *plus) if w in TELLING or w[0].isdigit()]
-            if not tells and (best is None or share > best[2]):
-                best = (placed[equal[0].a][1], placed[equal[-1].a + equal[-1].size - 1][2], share, len(minus) + len(plus), " ".join([*(f"-{w}" for w in minus), *(f"+{w}" for w in plus)]))
-        return best
-
-    def scan(self, block: str, least: float) -> list[tuple]:
+        m = SequenceMatcher(None, have, want, autojunk=False)
+        equal = [b for b in m.get_matching_blocks() if b.size]
+        share = sum(b.size for b in equal) / len(want)
+        if share < self._agreement:
+            return None
+        inside = [op for op in m.get_opcodes() if op[0] != "equal" and not (op[0] == "delete" and op[3] in (0, len(want)))]
+        minus = [w for _, a, b, _, _ in inside for w in have[a:b]]
+        plus = [w for _, _, _, a, b in inside for w in want[a:b]]
+        if any(w in TELLING or w[0].isdigit() for w in (*minus, *plus)) or len(minus) > len(want):
+            return None
+        last = equal[-1].a + equal[-1].size
+        return placed[equal[0].a][1], placed[last - 1][2], share, len(minus) + len(plus), " ".join([*(f"-{w}" for w in minus), *(f"+{w}" for w in plus)]), last
+
+    def scan(self, text: str, least: float) -> list[tuple]:
         """(start, end, license, reduction, runner-up, agreement, number and words that differ) of all licenses confirmed."""
-        ranked, out = self.ranking(block), []
-        for gain, name, texts in ranked:
-            if gain >= least and (found := self.confirm(block, texts)):
-                other = next((r[1] for r in ranked if r[1] != name), None)
-                out.append((*found[:2], name, gain, other, *found[2:]))
-        if (name := self._titles.get(" ".join(wording(block)))) and not any(f[2] == name for f in out):
-            ranks = {n: g for g, n, _ in ranked}
-            out.append((0, len(block), name, ranks[name], next((r[1] for r in ranked if r[1] != name), None), 1.0, 0, ""))
-        return out
+        found = []
+        for a, b in self.regions(text):
+            placed = [(w, a + s, a + e) for w, s, e in _words(text[a:b])]
+            hits: dict[int, list[int]] = defaultdict(list)
+            for i, (one, two) in enumerate(zip(placed, placed[1:], strict=False)):
+                for t in self._pairs.get((one[0], two[0]), ()):
+                    hits[t].append(i)
+            for t, at in hits.items():
+                found += self._blocks(text, placed, at, *self._texts[t], least)
+        for line in _TITLE.finditer(text):
+            if (name := self._titles.get(" ".join(wording(line[0])))) is not None:
+                ranks = self.ranking(line[0])
+                found.append((line.start(), line.end(), name, ranks[name], next((n for n in ranks if n != name), None), 1.0, 0, ""))
+        return settled(found)
+
+    def _blocks(self, text: str, placed: list, hits: list[int], name: str, want: list[str], least: float) -> Iterator[tuple]:
+        """The findings of one template in a region, by blocks of not much more than its length about its pairs of words."""
+        n, slack, i = len(want), max(3, len(want) // 6), 0
+        while i < len(hits):
+            low = hits[i]
+            j = bisect_left(hits, low + n + 2 * slack, i)
+            if len(set(zip((placed[h][0] for h in hits[i:j]), (placed[h + 1][0] for h in hits[i:j]), strict=True))) >= 0.4 * (n - 1):
+                ranks = self.ranking(text[placed[low][1] : placed[hits[j - 1] + 1][2]])
+                first = max(0, low - slack)
+                if ranks[name] >= least and (hit := self.confirm(placed[first : hits[j - 1] + 2 + slack], want)):
+                    yield (*hit[:2], name, ranks[name], next((r for r in ranks if r != name), None), *hit[2:5])
+                    i = max(i + 1, bisect_left(hits, first + hit[5], i))
+                    continue
+            i = max(i + 1, bisect_left(hits, low + max(1, n // 8), i))
+
+
+_TITLE = re.compile(r"^[^\w\n]*(?:the )?(?:mit|isc|bsd [23][- ]clause) license\b.*$", re.IGNORECASE | re.MULTILINE)
 
 
 def settled(found: list[tuple]) -> list[tuple]:
-    """Of the findings of a block's pieces: the longest of each license of those that overlap, in order."""
+    """Of findings of one license that overlap the longest, in order; a text within another's that has it all goes."""
     out: list[tuple] = []
     for f in sorted(dict.fromkeys(found), key=lambda f: (f[0] - f[1], -f[5], -f[3], f[0])):
         if not any(f[2] == g[2] and f[0] < g[1] and g[0] < f[1] for g in out):
@@ -218,36 +230,25 @@ SCHEMA = "doc_id long, start long, end long, license string, reduction double, r
 def scan_licenses(
     df: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, *, reduction: float = 0.25, agreement: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """One row per license stated in a block: the range of its words (code points, end exclusive) and the license.
+    """One row per license stated in a text: the range of its words (code points, end exclusive) and the license.
 
     ``reduction`` is the least share of a block's compressed length that a dictionary must save,
     ``agreement`` the least share of a template's words that the block must have in order. All
     licenses of at least ``reduction`` are compared. Equal reductions rank by name.
 
     A null or empty text has no blocks; a null id is passed on; repeated rows each give their rows;
-    no rows give no rows. Columns other than the two named are never read. A worker remembers the
-    findings of up to 10,000 short pieces.
+    no rows give no rows. Columns other than the two named are never read. Texts are read in whole,
+    however long a line is. A worker remembers the ranks of up to 10,000 short blocks.
     """
     templates = templates or TEMPLATES
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner, memo = Scanner(templates, agreement), {}
+        scanner = Scanner(templates, agreement)
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         types = [pa.int64()] * 3 + [pa.string(), pa.float64(), pa.string(), pa.float64(), pa.int64(), pa.string()]
         for batch in batches:
             for part in row_slices(batch, 1):
-                rows = []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    text = text or ""
-                    for lines in blocks(text, scanner.known):
-                        found = []
-                        for start, end in pieces(text, lines):
-                            piece = text[start:end]
-                            hits = memo[piece] if piece in memo else scanner.scan(piece, reduction)
-                            if len(piece) <= 1000 and len(memo) < 10_000:
-                                memo[piece] = hits
-                            found += [(start + f[0], start + f[1], *f[2:]) for f in hits]
-                        rows += [(doc, *f) for f in settled(found)]
+                rows = [(doc, *f) for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for f in scanner.scan(text or "", reduction)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
