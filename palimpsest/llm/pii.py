@@ -2,9 +2,9 @@
 
 Entities are the values that four patterns find: emails, ip addresses, payment cards and phones, and
 with each the class that it belongs to: an email's domain, an ip's first three parts, the first six
-digits of a card or phone. A term t near an entity c (on its line, among the next words on either
-side) is held against the corpus: p(c|t) is the share of the documents with t in which it stands near
-c, shrunk towards p(c) as if ``shrink`` documents more had been seen, so that rare entities count,
+digits of a card or phone. A term t that stands with an entity c is held against the corpus: anywhere
+in the document if several documents hold that very value, else near it (on its line, among the next
+words on either side). p(c|t) is the share of the documents with t in which it stands with c, shrunk towards p(c) as if ``shrink`` documents more had been seen, so that rare entities count,
 with less certainty. The term discloses c if
 
 - their pointwise mutual information, log p(c|t) / p(c), reaches the information content of c,
@@ -154,33 +154,52 @@ def _near(kind: str, reach: int) -> Column:
 
 
 _MARK = "\x01"
+#: What the class of an entity looks like, after its kind: a domain, three numbers and a point, or six digits and a star.
+_CLASS = r"^email:@|^ip:.*\.$|\*$"
 
 
 def disclosure(df: DataFrame, *, alpha: float = 1.25, shrink: float = 1.0, residual_bits: float = 1.0, reach: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(c, t, n_c, n_t, n_ct, n): each pair of an entity and a term that discloses it, with the counts of documents.
 
-    n_ct are the documents in which t stands near c, n_c and n_t those that hold either, n all. Every
+    n_ct are the documents in which t stands with c, n_c and n_t those that hold either, n all. Every
     row counts as a document. Without entities, or in an empty table, there are no pairs.
     """
-    rows = _rows(df, id_col, text_col)
-    near = rows.where(F.col("text").rlike(_HINT)).select(F.concat(*[_near(kind, reach) for kind in KINDS[:4]]).alias("near")).where(F.size("near") > 0)
+    rows = _rows(df, id_col, text_col).withColumn("d", F.xxhash64("doc_id", "h"))
+    hinted = rows.where(F.col("text").rlike(_HINT))
+    near = hinted.select("d", F.concat(*[_near(kind, reach) for kind in KINDS[:4]]).alias("near")).where(F.size("near") > 0)
+    held = F.array_distinct(F.flatten("near.c"))
+    entities = settle(near.select(F.explode(held).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n_c")))
     pair = F.flatten(F.transform("near", lambda x: F.flatten(F.transform(x["c"], lambda c: F.transform(x["t"], lambda t: F.concat(c, F.lit(_MARK), t))))))
-    entities = near.select(F.explode(F.array_distinct(F.flatten("near.c"))).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n_c"))
     pairs = near.select(F.explode(F.array_distinct(pair)).alias("ct")).groupBy("ct").agg(F.count(F.lit(1)).alias("n_ct"))
     pairs = pairs.select(F.substring_index("ct", _MARK, 1).alias("c"), F.substring_index("ct", _MARK, -1).alias("t"), "n_ct")
-    # A term is in n_ct documents at least, which bounds p(c|t): pairs that cannot reach it go before the corpus is counted.
     pairs = settle(pairs.join(entities, "c"))
-    candidates = settle(pairs.select("t").distinct())
+    # Values that several documents hold are held against all terms of these documents.
+    shared = entities.where((F.col("n_c") >= 2) & ~F.col("c").rlike(_CLASS))
+    carriers = near.select("d", F.explode(held).alias("c")).groupBy("d", "c").agg(F.count(F.lit(1)).alias("m")).join(shared, "c")
+    carriers = settle(carriers)
+    texts = among(hinted, carriers.select("d").distinct(), ["d"]).select("d", F.regexp_replace("text", _PATTERNS["email"], "@").alias("text"))
+    tokens = settle(texts.select("d", F.explode(F.array_distinct(_terms(F.col("text")))).alias("t")).distinct())
+    candidates = settle(pairs.select("t").unionByName(tokens.select("t")).distinct())
     said = rows.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("t"))
-    few = candidates.count() <= BROADCAST_IDS
-    if few:  # counted above: their words only are aggregated
+    if candidates.count() <= BROADCAST_IDS:  # counted: all other words go before any are aggregated
         said = said.join(F.broadcast(candidates), "t", "left_semi")
     frequency = said.groupBy("t").agg(F.count(F.lit(1)).alias("n_t"))
     n = rows.count()
     p_c = F.col("n_c") / F.lit(max(n, 1))
-    p = (F.col("n_ct") + F.lit(shrink) * p_c) / (F.col("n_t") + F.lit(shrink))
-    content, mutual = -F.log2(p_c), F.log2(p / p_c)
-    return pairs.join(frequency, "t").where((content > 0) & (mutual * alpha >= content) & (-F.log2(p) <= residual_bits)).select("c", "t", "n_c", "n_t", "n_ct", F.lit(n).cast("long").alias("n"))
+
+    def telling(p: Column) -> Column:
+        content, mutual = -F.log2(p_c), F.log2(p / p_c)
+        return (content > 0) & (mutual * alpha >= content) & (-F.log2(p) <= residual_bits)
+
+    def share(n_ct: Column) -> Column:
+        return (n_ct + F.lit(shrink) * p_c) / (F.col("n_t") + F.lit(shrink))
+
+    # No term can stand in more documents with an entity than hold the entity: the others go before they meet it.
+    most = carriers.groupBy("d").agg(F.max("n_c").alias("most"))
+    rare = tokens.join(frequency, "t").join(most, "d").where((F.col("most") + F.lit(shrink)) / (F.col("n_t") + F.lit(shrink)) >= 2.0**-residual_bits).drop("most")
+    wide = rare.join(carriers, "d").where(telling(share(F.col("n_c")))).groupBy("c", "t", "n_c", "n_t").agg(F.sum("m").alias("n_ct"))
+    found = pairs.join(shared.select("c"), "c", "left_anti").join(frequency, "t").select("c", "t", "n_c", "n_t", "n_ct").unionByName(wide)
+    return found.where(telling(share(F.col("n_ct")))).select("c", "t", "n_c", "n_t", "n_ct", F.lit(n).cast("long").alias("n"))
 
 
 def disclosing_terms(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:
