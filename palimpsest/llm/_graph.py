@@ -5,25 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm._util import settle
+from palimpsest.llm._util import salted_join, settle
+
+
+#: Edges up to which all rounds run in one task each: shuffles would cost more than the work.
+TOGETHER = 200_000
 
 
 def _digest(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
-def _star(edges: DataFrame, *, large: bool) -> DataFrame:
+def _both(df: DataFrame, *pairs: tuple) -> DataFrame:
+    return df.select(F.explode(F.array(*[F.struct(a.alias("u"), b.alias("v")) for a, b in pairs])).alias("e")).select("e.*")
+
+
+def _star(edges: DataFrame, *, large: bool, together: bool) -> DataFrame:
     """Hang neighbours on the least of them: larger ones for a large star, all not larger for a small one."""
-    if large:
-        sides = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    else:
-        sides = edges
-    least = sides.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    hung = sides.join(least, "u")
-    if large:
-        out = hung.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+    u, v, m = F.col("u"), F.col("v"), F.col("m")
+    sides = _both(edges, (u, v), (v, u)) if large else edges
+    least = sides.groupBy("u").agg(F.min("v").alias("least"), F.count(F.lit(1)).alias("n")).select("u", F.least("least", "u").alias("m"), "n")
+    hung = sides.join(least.drop("n"), "u") if together else salted_join(sides, least, ["u"], "n", F.xxhash64("v"))
+    out = _both(hung.where("v > u"), (v, m)) if large else _both(hung, (v, m), (u, m))
     return out.where("u <> v").distinct()
 
 
@@ -31,14 +34,18 @@ def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
     """(node, component): the least node that each node of an edge can reach, by alternating stars.
 
     ``edges`` has two long columns, in any direction, with repeats and loops allowed. A node's
-    neighbours are reduced to their least before a shuffle and are never gathered in one row.
+    neighbours are reduced to their least before a shuffle and are never gathered in one row; the
+    rows of a node with very many are spread over several tasks. A graph of up to TOGETHER edges,
+    which are counted, is worked on in one task at a time.
     """
     a, b = edges.columns[:2]
-    edges = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
-    edges = settle(edges)
+    edges = settle(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct())
     before = _digest(edges)
     while before[0]:
-        edges = settle(_star(_star(edges, large=True), large=False).coalesce(1 + before[0] // 100_000))
+        together = before[0] <= TOGETHER
+        if together:
+            edges = edges.coalesce(1)
+        edges = settle(_star(_star(edges, large=True, together=together), large=False, together=together))
         after = _digest(edges)
         if after == before:
             break
@@ -47,4 +54,5 @@ def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
         if not rounds:
             raise RuntimeError("components did not settle")
     # At the end every edge leads from a node to the least one of its component.
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    u, v = F.col("u"), F.col("v")
+    return _both(edges, (u, v), (v, v)).distinct().toDF("node", "component")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bits of a bit set over hashes; its size does not depend on the number of rows.
@@ -18,7 +18,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if not sc.master.startswith("local") and warehouse.startswith(("file:", "/")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = warehouse + "/_checkpoints"
     sc.setCheckpointDir(named)
 
 
@@ -73,3 +76,25 @@ BROADCAST_IDS = 200_000
 def among(df: DataFrame, ids: DataFrame, on: list[str], how: str = "left_semi") -> DataFrame:
     """Semi or anti join with a settled list of ids, which is counted before it is broadcast."""
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)
+
+
+#: Shares of all rows: a key with more than one of them is hot, so that there are fewer hot keys than this.
+SHARES = 1000
+#: Tasks over which the rows of a hot key are dealt.
+PIECES = 64
+
+
+def salted_join(many: DataFrame, once: DataFrame, on: list[str], count: str, spread: Column) -> DataFrame:
+    """Inner join of ``many`` with ``once``, which has one row for each key and the ``count`` of its rows in ``many``.
+
+    Of N rows, fewer than SHARES keys can have N / SHARES each; their list is so bounded and is
+    broadcast. Rows of these keys are dealt over PIECES tasks by ``spread``, and their rows of
+    ``once`` copied to all of them. ``count`` is left out of the result.
+    """
+    once = settle(once)
+    total = once.agg(F.sum(count)).first()[0] or 0
+    hot = once.where(F.col(count) > max(total // SHARES, 1))
+    piece, mark = fresh([*many.columns, *once.columns], "_piece", "_hot")
+    dealt = many.join(F.broadcast(hot.select(*on, F.lit(True).alias(mark))), on, "left").withColumn(piece, F.when(F.col(mark), F.pmod(spread, F.lit(PIECES))).otherwise(0).cast("int")).drop(mark)
+    copies = F.when(F.col(count) > max(total // SHARES, 1), F.sequence(F.lit(0), F.lit(PIECES - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(once.withColumn(piece, F.explode(copies)).drop(count), [*on, piece]).drop(piece)

@@ -17,43 +17,73 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimpsest.llm._graph import components
 from palimpsest.llm._util import settle
 
-#: Leading axes of the grid; vectors of a block; vectors below which a block is not halved further.
-AXES, BLOCK, LEAF = 8, 1024, 256
-#: Axes are principal ones up to this many dimensions, and the vectors' own ones beyond.
-MAX_DIMENSIONS = 1024
+#: Leading axes of the grid, those by which blocks meet, vectors of a block, and vectors below which a block is not halved further.
+AXES, MEETING, BLOCK, LEAF = 8, 3, 8192, 256
+#: Bytes of a block's vectors, at most: long ones make up smaller blocks.
+BLOCK_BYTES = 4 << 20
+#: Up to this many dimensions axes come from all products of components; beyond, from repeated sketches.
+EXACT_DIMENSIONS, SKETCHES = 256, 3
 
 
 def _usable(df: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    v = F.col("vec")
-    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<float>").alias("vec"))
+    v, kind = F.col("vec"), df.schema[vector_col].dataType
+    single = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
+    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<float>" if single else "array<double>").alias("vec"))
     sound = (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     ok = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & v.isNotNull() & sound, F.lit(False))
     return rows.select("vec_id", "label", "vec", ok.alias("ok"), F.xxhash64("vec").alias("a"), F.xxhash64(F.lit("second"), "vec").alias("b"))
 
 
 def _moments(rows: DataFrame) -> dict[int, np.ndarray]:
-    """For each number of dimensions the leading axes of all unit vectors, from their summed products."""
+    """For each number of dimensions the leading axes of all unit vectors, from their summed products.
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for d, _, u in _by_dimension(batch.column(0)):
-                if d <= MAX_DIMENSIONS:
-                    total[d] = total.get(d, 0) + u.T @ u
-        for d, m in total.items():
-            i, j = np.triu_indices(d)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), d)), pa.array(i), pa.array(j), pa.array(m[i, j])], ["d", "i", "j", "x"])
-
-    summed = rows.select("vec").mapInArrow(sums, "d long, i long, j long, x double").groupBy("d", "i", "j").agg(F.sum("x").alias("x")).toPandas()
-    axes = {}
-    for d, part in summed.groupby("d"):
-        m = np.zeros((d, d))
-        m[part["i"], part["j"]] = m[part["j"], part["i"]] = part["x"]
-        axes[int(d)] = np.linalg.eigh(m)[1][:, ::-1][:, :AXES].copy()
+    Beyond EXACT_DIMENSIONS the matrix of products C is not summed up itself, but C Q for a few
+    columns Q, again and again (subspace iteration), so that what is gathered grows with the
+    dimensions alone.
+    """
+    width = 2 * AXES
+
+    def summed(basis: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+        shared = rows.sparkSession.sparkContext.broadcast(basis)
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for d, _, u in _by_dimension(batch.column(0)):
+                    if d <= EXACT_DIMENSIONS and not shared.value:
+                        total[d] = total.get(d, 0) + u.T @ u
+                    elif d > EXACT_DIMENSIONS:
+                        q = shared.value.get(d)
+                        total[d] = total.get(d, 0) + u.T @ (u @ (np.random.RandomState(d).randn(d, width) if q is None else q))
+            for d, m in total.items():
+                i, j = np.triu_indices(d) if d <= EXACT_DIMENSIONS else (x.ravel() for x in np.indices((d, width)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), d)), pa.array(i), pa.array(j), pa.array(m[i, j])], ["d", "i", "j", "x"])
+
+        found = rows.select("vec").mapInArrow(sums, "d long, i long, j long, x double").groupBy("d", "i", "j").agg(F.sum("x").alias("x")).toPandas()
+        out = {}
+        for d, part in found.groupby("d"):
+            m = np.zeros((d, d) if d <= EXACT_DIMENSIONS else (d, width))
+            m[part["i"], part["j"]] = part["x"]
+            if d <= EXACT_DIMENSIONS:
+                m[part["j"], part["i"]] = part["x"]
+            out[int(d)] = m
+        return out
+
+    products = summed({})
+    axes = {d: np.linalg.eigh(m)[1][:, ::-1][:, :AXES].copy() for d, m in products.items() if d <= EXACT_DIMENSIONS}
+    basis = {d: np.linalg.qr(m)[0] for d, m in products.items() if d > EXACT_DIMENSIONS}
+    for _ in range(SKETCHES if basis else 0):
+        products = summed(basis)
+        # Within the space of Q, the eigenvectors of Q'CQ come first.
+        for d, q in basis.items():
+            if d in products:
+                turn = np.linalg.eigh((q.T @ products[d] + products[d].T @ q) / 2)[1][:, ::-1]
+                axes[d], basis[d] = (q @ turn)[:, :AXES].copy(), np.linalg.qr(products[d] @ turn)[0]
     return axes
 
 
@@ -64,19 +94,24 @@ def _by_dimension(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarra
     starts = column.offsets.to_numpy()[:-1]
     for d in np.unique(sizes):
         rows = np.flatnonzero(sizes == d)
-        v = flat[starts[rows][:, None] + np.arange(d)]
-        yield int(d), rows, v / np.sqrt((v * v).sum(1))[:, None]
+        yield int(d), rows, _unit(flat[starts[rows][:, None] + np.arange(d)])
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    """Vectors of length one; scaled first, as squares of large or small components leave the range."""
+    v = v / np.abs(v).max(1)[:, None]
+    return v / np.sqrt((v * v).sum(1))[:, None]
 
 
 def _project(u: np.ndarray, axes: dict[int, np.ndarray]) -> np.ndarray:
-    d = u.shape[1]
-    p = u @ axes[d] if d in axes else u[:, :AXES]
+    p = u @ axes[u.shape[1]]
     return np.pad(p, ((0, 0), (0, AXES - p.shape[1])))
 
 
 def _blocks(reps: DataFrame, axes: dict[int, np.ndarray], eps: float) -> DataFrame:
     """Sequence intervals of the grid order, each with the box of its vectors on the leading axes."""
     sc = reps.sparkSession.sparkContext
+    element = reps.schema["vec"].dataType.simpleString()
     shared = sc.broadcast(axes)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,29 +126,40 @@ def _blocks(reps: DataFrame, axes: dict[int, np.ndarray], eps: float) -> DataFra
             extra = [pa.array(np.diff(batch.column(2).offsets.to_numpy())), pa.FixedSizeListArray.from_arrays(pa.array(cells.ravel()), AXES).cast(pa.list_(pa.int32())), pa.FixedSizeListArray.from_arrays(pa.array(at.ravel()), AXES).cast(pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], ["vec_id", "label", "vec", "copies", "d", "cells", "at"])
 
-    placed = reps.select("vec_id", "label", "vec", "copies").mapInArrow(place, "vec_id long, label string, vec array<float>, copies long, d int, cells array<int>, at array<double>")
+    placed = reps.select("vec_id", "label", "vec", "copies").mapInArrow(place, f"vec_id long, label string, vec {element}, copies long, d int, cells array<int>, at array<double>")
     order = ["label", "d", *[F.col("cells")[i] for i in range(AXES)], "vec_id"]
     ordered = settle(placed).repartitionByRange(*order).sortWithinPartitions(*order)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker, n, held, key = TaskContext.get().partitionId(), 0, [], None
+        worker, n, held, key, size = TaskContext.get().partitionId(), 0, [], None, 0
 
         def made() -> pa.RecordBatch:
-            nonlocal n, held
-            at = np.array([r[4] for r in held])
+            nonlocal n, held, size
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            at = whole.column(6).flatten().to_numpy().reshape(-1, AXES)
             block = (worker << 32) + n
-            n += 1
-            columns = [[key[0]], [key[1]], [block], [at.min(0).tolist()], [at.max(0).tolist()], [[r[0] for r in held]], [[r[2] for r in held]], [np.array([r[1] for r in held], "<f4").tobytes()]]
+            n, held, size = n + 1, [], 0
+            vectors = whole.column(2).flatten().to_numpy().tobytes()
+            columns = [[key[0]], [key[1]], [block], [at.min(0)], [at.max(0)], [whole.column(0).to_numpy()], [whole.column(3).to_numpy()], [vectors]]
             types = [pa.string(), pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-            held = []
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["label", "d", "block", "lo", "hi", "ids", "copies", "vectors"])
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("vec_id", "vec", "copies", "label", "at", "d")), strict=True):
-                if held and (key != (row[3], row[5]) or len(held) == BLOCK):
+            keys = list(zip(batch.column(1).to_pylist(), batch.column(4).to_pylist(), strict=True))
+            i = 0
+            while i < len(keys):
+                if held and keys[i] != key:
+                    yield made()
+                key = keys[i]
+                most = max(1, min(BLOCK, BLOCK_BYTES // (4 * key[1]))) - size
+                j = i + 1
+                while j < len(keys) and j - i < most and keys[j] == key:
+                    j += 1
+                held.append(batch.slice(i, j - i))
+                size += j - i
+                if j - i == most:
                     yield made()
-                key = (row[3], row[5])
-                held.append(row)
+                i = j
         if held:
             yield made()
 
@@ -126,50 +172,57 @@ def _apart(a_lo, a_hi, b_lo, b_hi) -> float:
     return float((gap * gap).sum())
 
 
-def _joined(pairs: DataFrame, axes: dict[int, np.ndarray], cosine: float, eps: float) -> DataFrame:
+def _links(xp: np.ndarray, xu: np.ndarray, yp: np.ndarray, yu: np.ndarray, cosine: float, eps: float) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first row, first column, links) of the leaves of two blocks that hold a link, halving both as long as they may meet."""
+    todo = [(0, len(xu), 0, len(yu))]
+    while todo:
+        a, b, c, d = todo.pop()
+        if _apart(xp[a:b].min(0), xp[a:b].max(0), yp[c:d].min(0), yp[c:d].max(0)) > eps * eps:
+            continue
+        if max(b - a, d - c) > LEAF:
+            rows = [(a, (a + b) // 2), ((a + b) // 2, b)] if b - a > LEAF else [(a, b)]
+            todo += [(p, q, r, s) for p, q in rows for r, s in ([(c, (c + d) // 2), ((c + d) // 2, d)] if d - c > LEAF else [(c, d)])]
+            continue
+        linked = xu[a:b] @ yu[c:d].T >= cosine
+        if linked.any():
+            yield a, c, linked
+
+
+def _joined(pairs: DataFrame, axes: dict[int, np.ndarray], cosine: float, eps: float, kind: str) -> DataFrame:
     """(vec_id, links, root): for each pair of blocks its vectors' links there and the least vector they reach."""
     shared = pairs.sparkSession.sparkContext.broadcast(axes)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                sides = []
-                for s in "xy":
-                    v = np.frombuffer(row[f"vectors_{s}"], "<f4").reshape(-1, row["d"]).astype(np.float64)
-                    u = v / np.sqrt((v * v).sum(1))[:, None]
+            for row in (r for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()):
+                sides, same = [], row["block_x"] == row["block_y"]
+                for s in "x" if same else "xy":
+                    u = _unit(np.frombuffer(row[f"vectors_{s}"], kind).reshape(-1, row["d"]).astype(np.float64))
                     sides.append((np.array(row[f"ids_{s}"]), np.array(row[f"copies_{s}"]), u, _project(u, shared.value)))
-                (xi, xc, xu, xp), (yi, yc, yu, yp) = sides
-                linked = np.zeros((len(xi), len(yi)), bool)
-
-                def halve(a, b, c, d, xu=xu, xp=xp, yu=yu, yp=yp, linked=linked):
-                    if _apart(xp[a:b].min(0), xp[a:b].max(0), yp[c:d].min(0), yp[c:d].max(0)) > eps * eps:
-                        return
-                    if max(b - a, d - c) > LEAF:
-                        for p, q in ([(a, (a + b) // 2), ((a + b) // 2, b)] if b - a > LEAF else [(a, b)]):
-                            for r, s in ([(c, (c + d) // 2), ((c + d) // 2, d)] if d - c > LEAF else [(c, d)]):
-                                halve(p, q, r, s)
-                        return
-                    linked[a:b, c:d] = xu[a:b] @ yu[c:d].T >= cosine
-
-                halve(0, len(xi), 0, len(yi))
-                same = row["block_x"] == row["block_y"]
-                if same:
-                    linked &= linked.T
-                    np.fill_diagonal(linked, False)
-                if not linked.any():
+                (xi, xc, xu, xp), (yi, yc, yu, yp) = sides[0], sides[-1]
+                leaves = []
+                for a, c, linked in _links(xp, xu, yp, yu, cosine, eps):
+                    if same:  # a pair is asked from both sides, and no vector about itself
+                        linked = linked & ((np.arange(a, a + linked.shape[0])[:, None] != np.arange(c, c + linked.shape[1])[None, :]))
+                    if linked.any():
+                        leaves.append((slice(a, a + linked.shape[0]), slice(c, c + linked.shape[1]), linked))
+                if not leaves:
                     continue
-                nx, ny = linked @ yc, linked.T @ xc
-                rx, ry = xi.copy(), (xi if same else yi).copy()
                 far = np.iinfo(np.int64).max
+                nx, ny = np.zeros(len(xi), np.int64), np.zeros(len(yi), np.int64)
+                rx = xi.copy()
+                ry = rx if same else yi.copy()
+                for p, q, linked in leaves:
+                    nx[p] += linked @ yc[q]
+                    ny[q] += linked.T @ xc[p]
                 while True:
-                    sx = np.minimum(rx, np.where(linked, ry[None, :], far).min(1))
-                    if same:
-                        sy = sx
-                    else:
-                        sy = np.minimum(ry, np.where(linked, sx[:, None], far).min(0))
-                    if (sx == rx).all() and (sy == ry).all():
+                    before = rx.copy(), ry.copy()
+                    for p, q, linked in leaves:
+                        rx[p] = np.minimum(rx[p], np.where(linked, ry[q][None, :], far).min(1))
+                        ry[q] = np.minimum(ry[q], np.where(linked, rx[p][:, None], far).min(0))
+                    if (before[0] == rx).all() and (before[1] == ry).all():
                         break
-                    rx, ry = sx, sy
+                # Leaves of a block with itself come in mirrored pairs, so that rows alone count all links.
                 keep = nx > 0
                 ids, n, root = xi[keep], nx[keep], rx[keep]
                 if not same:
@@ -188,7 +241,8 @@ def near_vectors(df: DataFrame, *, cosine: float = 0.93, id_col: str = "vec_id",
     least vec_id that links reach, and kept tells that this is the vector's own.
 
     A vector that is null, empty, zero or holds a null or non-finite component links with nothing,
-    nor do vectors of different lengths. A row with a null id has no links, a null component and is
+    nor do vectors of different lengths. Components are read as they are, single or double; others
+    are cast to double. A row with a null id has no links, a null component and is
     not kept. Rows of equal id, label and vector are one vector; each gives a row. Equal vectors are
     compared as one and counted as many. No rows give no rows. Columns other than the three named are
     never read.
@@ -206,23 +260,29 @@ def near_vectors(df: DataFrame, *, cosine: float = 0.93, id_col: str = "vec_id",
     )
     axes = _moments(reps)
     blocks = settle(_blocks(reps, axes, eps))
-    # Blocks meet by label and by the cells of the first axis that they reach.
+    # Blocks meet by label and by the cells of the first axes that they reach: one side's own, and the other's with what eps adds.
     edge = blocks.select("label", "d", "block", "lo", "hi")
     cell = lambda x: F.floor(x / eps).cast("int")
-    left = edge.withColumn("cell", F.explode(F.sequence(cell(F.col("lo")[0]), cell(F.col("hi")[0])))).toDF("label", "d", "x", "lo_x", "hi_x", "cell")
-    right = edge.withColumn("cell", F.explode(F.sequence(cell(F.col("lo")[0] - eps), cell(F.col("hi")[0] + eps)))).toDF("label", "d", "y", "lo_y", "hi_y", "cell")
+    names = [f"cell_{i}" for i in range(MEETING)]
+
+    def cells(more: float, block: str, *box: str) -> DataFrame:
+        out = edge
+        for i, name in enumerate(names):
+            out = out.withColumn(name, F.explode(F.sequence(cell(F.col("lo")[i] - more), cell(F.col("hi")[i] + more))))
+        return out.select("label", "d", F.col("block").alias(block), F.col("lo").alias(box[0]), F.col("hi").alias(box[1]), *names)
+
+    left, right = cells(0.0, "x", "lo_x", "hi_x"), cells(eps, "y", "lo_y", "hi_y")
 
     def gap(p: str, q: str):
         return F.zip_with(p, q, lambda u, v: F.greatest(u - v, F.lit(0.0)))
 
     between = F.aggregate(F.zip_with(gap("lo_x", "hi_y"), gap("lo_y", "hi_x"), lambda u, v: u + v), F.lit(0.0), lambda s, g: s + g * g)
-    near = left.join(right, ["label", "d", "cell"]).where((F.col("x") <= F.col("y")) & (between <= eps * eps)).select("x", "y").distinct()
-    # The other way round a block may reach a cell that only its partner names.
-    back = left.join(right, ["label", "d", "cell"]).where((F.col("x") > F.col("y")) & (between <= eps * eps)).select(F.col("y").alias("x"), F.col("x").alias("y"))
-    near = near.unionByName(back).distinct()
+    met = left.join(right, ["label", "d", *names]).where(between <= eps * eps)
+    # Either of two blocks may be the one that reaches the other's cell.
+    near = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     side = lambda s: blocks.select(*([F.col("d")] if s == "x" else []), F.col("block").alias(f"block_{s}"), F.col("ids").alias(f"ids_{s}"), F.col("copies").alias(f"copies_{s}"), F.col("vectors").alias(f"vectors_{s}"))
     pairs = near.join(side("x"), near["x"] == F.col("block_x")).join(side("y"), F.col("y") == F.col("block_y")).drop("x", "y")
-    found = settle(_joined(pairs, axes, cosine, eps))
+    found = settle(_joined(pairs, axes, cosine, eps, "<f4" if "float" in rows.schema["vec"].dataType.simpleString() else "<f8"))
     links = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
     classes = components(found.select("vec_id", "root"))
     owner = (
