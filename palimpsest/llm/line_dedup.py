@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm._util import fresh
+from palimpsest.llm._util import fresh, salted_join
 
 
 def _window_hashes(lines: Column, width: int) -> Column:
@@ -35,8 +35,10 @@ def repeated_windows(df: DataFrame, *, width: int, id_col: str, text_col: str) -
     )
     windows = lines.select("k", "h", F.explode(_window_hashes(F.col("lines"), width)).alias("w")).select("k", "h", "w.p", "w.a", "w.b")
     # Counting comes before the shuffle, so that a window which a third of all texts share is a few rows there.
-    firsts = windows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "h", "p")).alias("first")).where("n > 1").select("a", "b", "first")
-    return windows.join(firsts, ["a", "b"]).where(F.struct("k", "h", "p") != F.col("first")).select("k", "h", "p")
+    firsts = windows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "h", "p")).alias("first")).where("n > 1")
+    # Of the windows that many texts share, a bounded list is known beforehand; their rows are dealt over many tasks.
+    repeated = salted_join(windows, firsts, ["a", "b"], "n", F.xxhash64("k", "h", "p"))
+    return repeated.where(F.struct("k", "h", "p") != F.col("first")).select("k", "h", "p")
 
 
 def covered_ranges(repeats: DataFrame, width: int) -> DataFrame:
@@ -62,7 +64,7 @@ def dedup_lines(df: DataFrame, *, width: int = 3, id_col: str = "doc_id", text_c
     its first line stays. Runs of blank lines alone are not compared.
 
     All columns are kept, and all rows: a text whose lines all go becomes empty. ``removed_col`` adds
-    the number of lines removed. A null or empty text, one of fewer than ``width`` lines, and one
+    the number of lines removed, with ``_`` after its name if there is such a column. A null or empty text, one of fewer than ``width`` lines, and one
     with a null id, stays as it is. Rows of equal id and text count as one occurrence and are treated
     alike. No rows give no rows.
     """
@@ -81,5 +83,6 @@ def dedup_lines(df: DataFrame, *, width: int = 3, id_col: str = "doc_id", text_c
     gone = F.aggregate(F.zip_with(s, e, lambda a, b: b - a), F.lit(0), lambda a, x: a + x)
     out = [text.alias(c) if c == text_col else F.col(c) for c in df.columns]
     if removed_col:
+        (removed_col,) = fresh(df.columns, removed_col)
         out.append(F.coalesce(gone, F.lit(0)).cast("long").alias(removed_col))
     return joined.select(*out)
