@@ -108,7 +108,7 @@ def _project(u: np.ndarray, axes: dict[int, np.ndarray]) -> np.ndarray:
     return np.pad(p, ((0, 0), (0, AXES - p.shape[1])))
 
 
-def _blocks(reps: DataFrame, axes: dict[int, np.ndarray], eps: float) -> DataFrame:
+def _blocks(reps: DataFrame, axes: dict[int, np.ndarray], eps: float, parts: int) -> DataFrame:
     """Sequence intervals of the grid order, each with the box of its vectors on the leading axes."""
     sc = reps.sparkSession.sparkContext
     element = reps.schema["vec"].dataType.simpleString()
@@ -128,7 +128,7 @@ def _blocks(reps: DataFrame, axes: dict[int, np.ndarray], eps: float) -> DataFra
 
     placed = reps.select("vec_id", "label", "vec", "copies").mapInArrow(place, f"vec_id long, label string, vec {element}, copies long, d int, cells array<int>, at array<double>")
     order = ["label", "d", *[F.col("cells")[i] for i in range(AXES)], "vec_id"]
-    ordered = settle(placed).repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered = settle(placed).repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker, n, held, key, size = TaskContext.get().partitionId(), 0, [], None, 0
@@ -258,8 +258,10 @@ def near_vectors(df: DataFrame, *, cosine: float = 0.93, id_col: str = "vec_id",
         .dropDuplicates(["vec_id", "label", "a", "b"])
         .select("vec_id", "label", "vec", "copies")
     )
-    axes = _moments(reps)
-    blocks = settle(_blocks(reps, axes, eps))
+    # As many tasks as there are blocks, half-filled, at least: small ones cost more to start than they do.
+    parts = 1 + reps.count() * 2 // BLOCK
+    axes = _moments(reps.coalesce(4 * parts))
+    blocks = settle(_blocks(reps.coalesce(4 * parts), axes, eps, parts))
     # Blocks meet by label and by the cells of the first axes that they reach: one side's own, and the other's with what eps adds.
     edge = blocks.select("label", "d", "block", "lo", "hi")
     cell = lambda x: F.floor(x / eps).cast("int")
