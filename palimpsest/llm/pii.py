@@ -48,7 +48,8 @@ _SPANS = "array<struct<s:int,k:int,e:int,v:string>>"
 def _placed(steps: Column, kind: int) -> Column:
     """Spans from (gap before, value) pairs: lengths are summed by chunks, and then within each."""
     advance = lambda x: x["g"] + F.length(x["v"])
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / _CHUNK).cast("int")), lambda c: F.slice(steps, c * _CHUNK + 1, _CHUNK))
+    most = F.least(F.lit(_CHUNK), F.greatest(F.lit(8), F.ceil(F.sqrt(F.size(steps))).cast("int")))
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / most).cast("int")), lambda c: F.slice(steps, c * most + 1, most))
     totals = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + advance(x)))
     starts = F.aggregate(totals, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
     zipped = F.arrays_zip(chunks.alias("c"), F.slice(starts, 1, F.size(chunks)).alias("at"))
@@ -167,6 +168,7 @@ def disclosure(df: DataFrame, *, alpha: float = 1.25, shrink: float = 1.0, resid
     rows = _rows(df, id_col, text_col).withColumn("d", F.xxhash64("doc_id", "h"))
     hinted = rows.where(F.col("text").rlike(_HINT))
     near = hinted.select("d", F.concat(*[_near(kind, reach) for kind in KINDS[:4]]).alias("near")).where(F.size("near") > 0)
+    near = settle(near)
     held = F.array_distinct(F.flatten("near.c"))
     entities = settle(near.select(F.explode(held).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n_c")))
     pair = F.flatten(F.transform("near", lambda x: F.flatten(F.transform(x["c"], lambda c: F.transform(x["t"], lambda t: F.concat(c, F.lit(_MARK), t))))))
