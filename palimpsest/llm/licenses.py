@@ -74,7 +74,7 @@ _WORD = re.compile(r"[a-z]+|[0-9]+(?:\.[0-9]+)*")
 #: Numbers and letters of list items, which copies of a text leave out or change.
 _ITEM = re.compile(r"\b[0-9a-z][.)]\s+(?=redistributions|neither)")
 #: Code points of a window and of its step; bytes that the templates must save of it; the gap that regions reach over.
-_WINDOW, _STEP, _SAVED, _REACH = 64, 32, 8, 200
+_WINDOW, _STEP, _SAVED, _REACH = 48, 16, 7, 200
 #: Lines that are a license's title and nothing else, as words (fixed values).
 TITLES = {
     "MIT": ("mit license", "the mit license", "the mit license mit"),
