@@ -94,7 +94,9 @@ class Distance:
         return _T_BINS * _O_BINS + min(max(o - t - _RUN_LOW, 0), _RUN_BINS - 1)
 
     def counts(self, text: str) -> np.ndarray:
-        """How many windows of ``text`` fall into each cell."""
+        """How many windows of ``text`` fall into each cell; none without dictionaries."""
+        if not self._toxic:
+            return np.zeros(_CELLS, np.int64)
         w = words(text)
         return np.bincount(np.array([*map(self.cell, w), *map(self.run_cell, runs(w))], np.int64), minlength=_CELLS)
 
