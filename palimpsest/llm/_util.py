@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bits of a bit set over hashes; its size does not depend on the number of rows.
-BITS = 1 << 26
+#: Bits of a bit set over hashes: eight for each counted row, within these bounds. Above, it tells less, never wrong.
+LEAST_BITS, MOST_BITS = 1 << 26, 1 << 30
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -44,12 +44,13 @@ def fresh(taken: list[str], *wanted: str) -> list[str]:
 
 
 def bit_set(df: DataFrame, column: str) -> np.ndarray:
-    """BITS bits, of which those that the hashes in ``column`` fall on are set.
+    """A power of two of bits, of which those that the hashes in ``column`` fall on are set.
 
-    Executors put them together in BITS / 65536 pieces of 8 kB, which are all that the driver gathers,
-    however many rows there are.
+    Executors put them together in pieces of 8 kB, which are all that the driver gathers: 128 MB at
+    most, however many rows there are. ``df`` is read twice, the first time to be counted.
     """
-    bit = F.pmod(F.col(column), F.lit(BITS))
+    n = min(max(LEAST_BITS, 1 << (8 * df.count()).bit_length()), MOST_BITS)
+    bit = F.pmod(F.col(column), F.lit(n))
     words = df.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
 
     def piece(key: tuple, rows: pa.Table) -> pa.Table:
@@ -57,15 +58,15 @@ def bit_set(df: DataFrame, column: str) -> np.ndarray:
         out[rows["at"].to_numpy() & 1023] = rows["bits"].to_numpy()
         return pa.table({"piece": [key[0].as_py()], "data": pa.array([out.tobytes()], pa.binary())})
 
-    out = np.zeros(BITS // 64, np.int64)
-    for row in words.withColumn("piece", F.shiftright("at", 10)).groupBy("piece").applyInArrow(piece, "piece long, data binary").collect():
+    out = np.zeros(n // 64, np.int64)
+    for row in words.withColumn("piece", F.shiftright("at", 10)).groupBy("piece").applyInArrow(piece, "piece long, data binary").toLocalIterator():
         out[row.piece * 1024 : row.piece * 1024 + 1024] = np.frombuffer(row.data, np.int64)
     return out.view(np.uint64)
 
 
 def in_bit_set(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """For each unsigned hash whether its bit is set; true for all that were put in, and some others."""
-    at = hashes & np.uint64(BITS - 1)
+    at = hashes & np.uint64(64 * len(bits) - 1)
     return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
@@ -78,23 +79,32 @@ def among(df: DataFrame, ids: DataFrame, on: list[str], how: str = "left_semi")
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)
 
 
-#: Shares of all rows: a key with more than one of them is hot, so that there are fewer hot keys than this.
+#: Shares of all rows: a key that holds more than one of them is hot. Of N rows fewer than this many keys can have N / SHARES each.
 SHARES = 1000
 #: Tasks over which the rows of a hot key are dealt.
 PIECES = 64
 
 
-def salted_join(many: DataFrame, once: DataFrame, on: list[str], count: str, spread: Column) -> DataFrame:
-    """Inner join of ``many`` with ``once``, which has one row for each key and the ``count`` of its rows in ``many``.
+def hot_keys(counted: DataFrame, on: list[str], count: str) -> DataFrame:
+    """Of keys with the ``count`` of their rows, those that hold more than one in SHARES of all: fewer than SHARES."""
+    total = counted.agg(F.sum(count)).first()[0] or 0
+    return counted.where(F.col(count) > max(total // SHARES, 1)).select(*on)
+
 
-    Of N rows, fewer than SHARES keys can have N / SHARES each; their list is so bounded and is
-    broadcast. Rows of these keys are dealt over PIECES tasks by ``spread``, and their rows of
-    ``once`` copied to all of them. ``count`` is left out of the result.
+def dealt_join(many: DataFrame, once: DataFrame, on: list[str], hot: DataFrame, spread: Column) -> DataFrame:
+    """Inner join in which the rows of ``hot`` keys, a list of bounded length, are dealt over PIECES tasks by ``spread``.
+
+    ``once`` has one row for each key, or a few; those of hot keys are copied to all pieces.
     """
-    once = settle(once)
-    total = once.agg(F.sum(count)).first()[0] or 0
-    hot = once.where(F.col(count) > max(total // SHARES, 1))
     piece, mark = fresh([*many.columns, *once.columns], "_piece", "_hot")
-    dealt = many.join(F.broadcast(hot.select(*on, F.lit(True).alias(mark))), on, "left").withColumn(piece, F.when(F.col(mark), F.pmod(spread, F.lit(PIECES))).otherwise(0).cast("int")).drop(mark)
-    copies = F.when(F.col(count) > max(total // SHARES, 1), F.sequence(F.lit(0), F.lit(PIECES - 1))).otherwise(F.array(F.lit(0)))
-    return dealt.join(once.withColumn(piece, F.explode(copies)).drop(count), [*on, piece]).drop(piece)
+    known = F.broadcast(hot.select(*on, F.lit(True).alias(mark)))
+    left = many.join(known, on, "left").withColumn(piece, F.when(F.col(mark), F.pmod(spread, F.lit(PIECES))).otherwise(0).cast("int")).drop(mark)
+    copies = F.when(F.col(mark), F.sequence(F.lit(0), F.lit(PIECES - 1))).otherwise(F.array(F.lit(0)))
+    right = once.join(known, on, "left").withColumn(piece, F.explode(copies)).drop(mark)
+    return left.join(right, [*on, piece]).drop(piece)
+
+
+def salted_join(many: DataFrame, once: DataFrame, on: list[str], count: str, spread: Column) -> DataFrame:
+    """``dealt_join`` with a table that tells the ``count`` of each key's rows in ``many``; the count is left out of the result."""
+    once = settle(once)
+    return dealt_join(many, once.drop(count), on, hot_keys(once, on, count), spread)

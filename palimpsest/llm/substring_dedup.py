@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm._kernel import U64, list_array, mix, row_slices, shingles, space_separators, words
-from palimpsest.llm._util import bit_set, in_bit_set, settle
+from palimpsest.llm._util import bit_set, dealt_join, hot_keys, in_bit_set, salted_join, settle
 
-#: Words read beyond both ends of a chain for its extension.
+#: Words read beyond both ends of a chain for its extension, unless said otherwise.
 MARGIN = 64
 #: Numbers of successive seeds that are joined as one.
 RUNS = (2, 4)
@@ -101,18 +101,18 @@ def chain(matches: list[tuple[int, int]], k: int, gap_cost: float) -> list[list[
     return out
 
 
-def _common(a: np.ndarray, b: np.ndarray, most: int = 1 << 16) -> int:
-    """Length of the longest common subsequence of two short pieces; 0 if they are too long for it."""
-    if not len(a) or not len(b) or len(a) * len(b) > most:
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the longest common subsequence, by bit vectors: one step for each word of ``b``."""
+    if not len(a) or not len(b):
         return 0
-    row = [0] * (len(b) + 1)
-    for x in a.tolist():
-        left = 0
-        for j, y in enumerate(b.tolist(), 1):
-            up = row[j]
-            row[j] = left + 1 if x == y else max(up, row[j - 1])
-            left = up
-    return row[-1]
+    where: dict[int, int] = {}
+    for i, x in enumerate(a.tolist()):
+        where[x] = where.get(x, 0) | (1 << i)
+    full = row = (1 << len(a)) - 1
+    for y in b.tolist():
+        if at := row & where.get(y, 0):
+            row = ((row + at) | (row - at)) & full
+    return len(a) - row.bit_count()
 
 
 def _extend(a: np.ndarray, b: np.ndarray, drop: int = 6) -> tuple[int, int]:
@@ -155,7 +155,7 @@ def _between(x: np.ndarray, y: np.ndarray, i: int, j: int, p: int, q: int, k: in
     return inside + max(0, k - max(i - p, j - q, 0))
 
 
-def alike_parts(x: np.ndarray, y: np.ndarray, path: list[tuple[int, int]], k: int, identity: float) -> list[tuple[int, int, int, int, int]]:
+def alike_parts(x: np.ndarray, y: np.ndarray, path: list[tuple[int, int]], k: int, identity: float, margin: int = MARGIN) -> list[tuple[int, int, int, int, int]]:
     """What ``align`` gives for the chain if it is alike enough, else for its longest parts that are.
 
     Of all runs of matches whose words, without extension, are alike enough, those that no other
@@ -183,8 +183,8 @@ def alike_parts(x: np.ndarray, y: np.ndarray, path: list[tuple[int, int]], k: in
             longest.append((a, last))
     out = []
     for a, last in longest:
-        i, j = max(path[a][0] - MARGIN, 0), max(path[a][1] - MARGIN, 0)
-        s, e, t, f, n = align(x[i : path[last][0] + k + MARGIN], y[j : path[last][1] + k + MARGIN], [(c - i, d - j) for c, d in path[a : last + 1]], k)
+        i, j = max(path[a][0] - margin, 0), max(path[a][1] - margin, 0)
+        s, e, t, f, n = align(x[i : path[last][0] + k + margin], y[j : path[last][1] + k + margin], [(c - i, d - j) for c, d in path[a : last + 1]], k)
         found = s + i, e + i, t + j, f + j, n
         out.append(found if fits(found) else (path[a][0], path[last][0] + k, path[a][1], path[last][1] + k, int(matched[last] - matched[a]) + k))
     return out
@@ -258,9 +258,9 @@ def _seeds(rows: DataFrame, k: int, window: int, least: int, recurring=None, run
 
 
 def _firsts(seeds: DataFrame) -> DataFrame:
-    """Where each seed stands first, of those that a later document has too."""
+    """Where each seed stands first, of those that a later document has too, and how often it stands."""
     f = F.min(F.struct("doc_id", "i", "l")).alias("f")
-    return settle(seeds.groupBy("s").agg(f, F.max("doc_id").alias("last")).where("last > f.doc_id").select("s", F.col("f.doc_id").alias("y"), F.col("f.i").alias("j"), F.col("f.l").alias("m")))
+    return settle(seeds.groupBy("s").agg(f, F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).where("last > f.doc_id").select("s", F.col("f.doc_id").alias("y"), F.col("f.i").alias("j"), F.col("f.l").alias("m"), "n"))
 
 
 def _sizes(rows: DataFrame) -> DataFrame:
@@ -289,7 +289,8 @@ def _pieces(rows: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([low[a:b].tobytes() for a, b in zip(w.first[:-1], w.first[1:], strict=True)], pa.binary())], ["doc_id", "w"])
 
     read_ = rows.withColumn("hash", F.xxhash64("doc_id")).mapInArrow(read, "doc_id long, w binary")
-    return wanted.join(read_, "doc_id").select("x", "y", "c", F.expr("substring(w, lo * 4 + 1, (hi - lo) * 4)").alias("w"), "lo")
+    hot = settle(hot_keys(settle(wanted.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))), ["doc_id"], "n"))
+    return dealt_join(wanted, read_, ["doc_id"], hot, F.xxhash64("x", "y", "c")).select("x", "y", "c", F.expr("substring(w, lo * 4 + 1, (hi - lo) * 4)").alias("w"), "lo")
 
 
 def _long_enough(passages: DataFrame, min_words: int) -> DataFrame:
@@ -302,7 +303,7 @@ def _long_enough(passages: DataFrame, min_words: int) -> DataFrame:
 
 
 def repeated_passages(
-    df: DataFrame, *, k: int = 6, window: int = 10, min_words: int = 50, identity: float = 0.8, gap_cost: float = 0.1, id_col: str = "doc_id", text_col: str = "text"
+    df: DataFrame, *, k: int = 6, window: int = 10, min_words: int = 50, identity: float = 0.8, gap_cost: float = 0.1, margin: int = MARGIN, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Passages of ``min_words`` words or more that occur, exactly or nearly, in an earlier document.
 
@@ -310,7 +311,8 @@ def repeated_passages(
     One row per part of a passage and its source: doc_id, start_word, end_word, source_doc_id,
     source_start_word, source_end_word, matched_words, identity (matched words by the longer side's
     length) and exact (the whole text is a copy of the source's). Documents are ordered by id. A
-    text's copies refer to the first of them and are not chained again.
+    text's copies refer to the first of them and are not chained again. A chain's ends are extended
+    by up to ``margin`` words; farther on, other seeds would have to be shared.
 
     A null text or id and a text of fewer than ``min_words`` words give no rows, nor do passages that
     repeat within one document. Rows of equal id and text are one document, and rows that only share
@@ -320,13 +322,15 @@ def repeated_passages(
     rows = _texts(df, id_col, text_col)
     sizes = settle(_sizes(rows).distinct())
     first = sizes.groupBy("digest").agg(F.min("doc_id").alias("source"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    copies = settle(sizes.join(first, "digest").where("doc_id <> source").select("doc_id", "source", "n"))
+    copies = settle(salted_join(sizes, first, ["digest"], "copies", F.xxhash64("doc_id")).where("doc_id <> source").select("doc_id", "source", "n"))
 
     spread = rows.sparkSession.sparkContext.broadcast
     firsts = _firsts(_seeds(rows, k, window, min_words))
     # Most seeds that occur once are left out before the shuffle, by a bit set of those that recur.
     firsts = firsts.unionByName(_firsts(_seeds(rows, k, window, min_words, runs_of=spread(bit_set(firsts, "s")))))
-    shared = _seeds(rows, k, window, min_words, spread(bit_set(firsts, "s"))).join(firsts, "s").where("doc_id > y").select(F.col("doc_id").alias("x"), "y", "i", "j", "l", "m")
+    hot = settle(hot_keys(firsts, ["s"], "n"))
+    every = _seeds(rows, k, window, min_words, spread(bit_set(firsts, "s")))
+    shared = dealt_join(every, firsts.drop("n"), ["s"], hot, F.xxhash64("doc_id", "i")).where("doc_id > y").select(F.col("doc_id").alias("x"), "y", "i", "j", "l", "m")
     shared = shared.join(copies.select(F.col("doc_id").alias("x")), "x", "left_anti")
     # A document has a few matches at most for each of its own seeds, so that a group is no longer than the document.
     grouped = shared.groupBy("x", "y").agg(F.collect_list(F.struct("i", "j", "l", "m")).alias("m")).where((F.size("m") >= 2) | (F.col("m")[0]["l"] > F.col("m")[0]["i"]))
@@ -344,8 +348,8 @@ def repeated_passages(
     chains = settle(grouped.mapInArrow(chained, "x long, y long, c int, i array<int>, j array<int>"))
 
     def wanted(doc: str, places: str) -> DataFrame:
-        low = F.greatest(F.col(places)[0] - MARGIN, F.lit(0))
-        return chains.select(F.col(doc).alias("doc_id"), "x", "y", "c", low.alias("lo"), (F.element_at(places, -1) + k + MARGIN).alias("hi"))
+        low = F.greatest(F.col(places)[0] - margin, F.lit(0))
+        return chains.select(F.col(doc).alias("doc_id"), "x", "y", "c", low.alias("lo"), (F.element_at(places, -1) + k + margin).alias("hi"))
 
     left, right = (_pieces(rows, wanted(*side)).withColumnRenamed("w", f"w_{side[0]}").withColumnRenamed("lo", f"lo_{side[0]}") for side in (("x", "i"), ("y", "j")))
     both = chains.join(left, ["x", "y", "c"]).join(right, ["x", "y", "c"]).select("x", "y", "i", "j", "w_x", "lo_x", "w_y", "lo_y")
@@ -355,7 +359,7 @@ def repeated_passages(
             out = []
             for x, y, i, j, wx, lx, wy, ly in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "i", "j", "w_x", "lo_x", "w_y", "lo_y")), strict=True):
                 a, b = np.frombuffer(wx, np.uint32), np.frombuffer(wy, np.uint32)
-                for s, e, t, f, n in alike_parts(a, b, [(p - lx, q - ly) for p, q in zip(i, j, strict=True)], k, identity):
+                for s, e, t, f, n in alike_parts(a, b, [(p - lx, q - ly) for p, q in zip(i, j, strict=True)], k, identity, margin):
                     e, f = min(e, len(a)), min(f, len(b))
                     if e - s >= k:
                         out.append((x, s + lx, e + lx, y, t + ly, f + ly, n, min(n / max(e - s, f - t, 1), 1.0), False))
