@@ -10,10 +10,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from palimpsest.llm import decontamination, jaccard, line_dedup, packing, toxicity
-from palimpsest.llm._util import ensure_checkpoint_dir, fresh
+from palimpsest.llm._util import ensure_checkpoint_dir
 from palimpsest.llm.queries import tokenizer_path
 
 
@@ -26,10 +25,7 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    (key,) = fresh(docs.columns, "other")
-    classes = jaccard.jaccard_classes(docs, k=5, threshold=(80, 100))
-    others = classes.where("component_id <> doc_id").select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(others, docs["doc_id"] == others[key], "left_anti")
+    return jaccard.one_of_each(docs, k=5, threshold=(80, 100))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +44,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Compression distance, tiling and packing by tokens are beyond SQL. No test holds run() against plain Python.
+#: Compression distance, tiling and packing by tokens are beyond SQL; tests/llm/test_pipeline.py holds run() against plain Python.
 ORACLE_SQL = None
 
 

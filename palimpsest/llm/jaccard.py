@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm._graph import components
 from palimpsest.llm._kernel import U64, distinct_by_row, list_array, mix, row_slices, shingles, space_separators, words
-from palimpsest.llm._util import BROADCAST_IDS, among, bit_set, in_bit_set, settle
+from palimpsest.llm._util import BROADCAST_IDS, among, bit_set, fresh, in_bit_set, settle
 
 #: Entries of the list of common shingles, at most, and how often one must occur among CHUNK to be put forward.
 COMMON, LEAST_COMMON, CHUNK = 1 << 17, 3, 1 << 22
@@ -362,3 +362,21 @@ def jaccard_classes(df: DataFrame, *, k: int = 5, threshold: tuple[int, int] = (
     owner = equal.join(classes.select(F.col("node").alias("rep"), "component"), "rep", "left").select("n", "a", "b", F.coalesce("component", "rep").alias("owner"))
     out = described.select("doc_id", "n", "a", "b").join(owner, ["n", "a", "b"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("owner", "doc_id")).alias("component_id"))
+
+
+def one_of_each(df: DataFrame, *, k: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` whose id is the least of its class, with all their columns unchanged.
+
+    Of rows with equal id and text one stays; rows with one id and different texts share their fate.
+    Rows with a null id, and those with a null text, one of blanks or none, are in no class and stay.
+    No rows give no rows.
+    """
+    key, text = fresh(df.columns, "other", "said")
+    classes = jaccard_classes(df, k=k, threshold=threshold, id_col=id_col, text_col=text_col)
+    others = classes.where("component_id <> doc_id").select(F.col("doc_id").alias(key)).distinct()
+    kept = df.join(others, df[id_col].cast("long") == others[key], "left_anti").withColumn(text, F.xxhash64(df[text_col].cast("string")))
+    # Repeated rows are few or none: they alone are shuffled, by a list of their ids.
+    again = settle(kept.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).groupBy(id_col, text).agg(F.count(F.lit(1)).alias(key)).where(F.col(key) > 1).select(id_col).distinct())
+    if not again.count():
+        return kept.drop(text)
+    return among(kept, again, [id_col], "left_anti").unionByName(among(kept, again, [id_col]).dropDuplicates([id_col, text])).drop(text).select(*df.columns)
