@@ -13,7 +13,6 @@ not, the parts that are stay.
 
 from __future__ import annotations
 
-import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm._kernel import U64, list_array, mix, row_slices, shingles, space_separators, words
-from palimpsest.llm._util import bit_set, dealt_join, hot_keys, in_bit_set, salted_join, settle
+from palimpsest.llm._util import BROADCAST_IDS, bit_set, dealt_join, hot_keys, in_bit_set, salted_join, settle
 
 #: Words read beyond both ends of a chain for its extension, unless said otherwise.
 MARGIN = 64
@@ -264,16 +263,28 @@ def _firsts(seeds: DataFrame) -> DataFrame:
 
 
 def _sizes(rows: DataFrame) -> DataFrame:
-    """doc_id, a 128-bit digest of the text and its number of words."""
+    """doc_id, source and the number of words of each text."""
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in row_slices(batch, 1):
-                n = np.diff(words(part.column(1), space_separators(), hashes=False).first)
-                digest = [hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digest, pa.binary()), pa.array(n)], ["doc_id", "digest", "n"])
+            for part in row_slices(batch, 2):
+                n = np.diff(words(part.column(2), space_separators(), hashes=False).first)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n)], ["doc_id", "source", "n"])
+
+    return rows.select("doc_id", "source", "text").mapInArrow(sizes, "doc_id long, source long, n long")
+
 
-    return rows.mapInArrow(sizes, "doc_id long, digest binary, n long")
+def _without_copies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The first document of each text, and (doc_id, source, n) of the others, told apart by 128 bits of hash."""
+    marked = rows.withColumn("a", F.xxhash64("text")).withColumn("b", F.xxhash64(F.lit("second"), "text"))
+    ids = marked.select("doc_id", "a", "b")
+    first = ids.groupBy("a", "b").agg(F.min("doc_id").alias("source"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    copies = settle(salted_join(ids, first, ["a", "b"], "copies", F.xxhash64("doc_id")).where("doc_id <> source").distinct())
+    if copies.count() <= BROADCAST_IDS:
+        to = F.broadcast(copies)
+        return marked.join(to, ["doc_id", "a", "b"], "left_anti").select("doc_id", "text"), settle(_sizes(marked.join(to, ["doc_id", "a", "b"])).distinct())
+    # Texts move once: what is left is read from a settled table from then on.
+    return settle(marked.join(copies, ["doc_id", "a", "b"], "left_anti").select("doc_id", "text")), settle(_sizes(marked.join(copies, ["doc_id", "a", "b"])).distinct())
 
 
 def _pieces(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -319,10 +330,7 @@ def repeated_passages(
     an id are each read as that document. Of equally good chains the first is taken. No rows give no
     rows. Columns other than the two named are never read.
     """
-    rows = _texts(df, id_col, text_col)
-    sizes = settle(_sizes(rows).distinct())
-    first = sizes.groupBy("digest").agg(F.min("doc_id").alias("source"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    copies = settle(salted_join(sizes, first, ["digest"], "copies", F.xxhash64("doc_id")).where("doc_id <> source").select("doc_id", "source", "n"))
+    rows, copies = _without_copies(_texts(df, id_col, text_col))
 
     spread = rows.sparkSession.sparkContext.broadcast
     firsts = _firsts(_seeds(rows, k, window, min_words))
@@ -331,15 +339,18 @@ def repeated_passages(
     hot = settle(hot_keys(firsts, ["s"], "n"))
     every = _seeds(rows, k, window, min_words, spread(bit_set(firsts, "s")))
     shared = dealt_join(every, firsts.drop("n"), ["s"], hot, F.xxhash64("doc_id", "i")).where("doc_id > y").select(F.col("doc_id").alias("x"), "y", "i", "j", "l", "m")
-    shared = shared.join(copies.select(F.col("doc_id").alias("x")), "x", "left_anti")
     # A document has a few matches at most for each of its own seeds, so that a group is no longer than the document.
     grouped = shared.groupBy("x", "y").agg(F.collect_list(F.struct("i", "j", "l", "m")).alias("m")).where((F.size("m") >= 2) | (F.col("m")[0]["l"] > F.col("m")[0]["i"]))
 
     def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for x, y, m in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "m")), strict=True):
-                for c, path in enumerate(chain([at for p in m for at in ((p["i"], p["j"]), (p["l"], p["m"]))], k, gap_cost)):
+            at, flat = batch.column(2).offsets.to_pylist(), batch.column(2).flatten()
+            low = at[0] if at else 0
+            i, j, l, m = (flat.field(n).to_pylist() for n in range(4))
+            for x, y, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), at, at[1:], strict=False):
+                a, b = a - low, b - low
+                for c, path in enumerate(chain([*zip(i[a:b], j[a:b], strict=True), *zip(l[a:b], m[a:b], strict=True)], k, gap_cost)):
                     out.append((x, y, c, [p for p, _ in path], [q for _, q in path]))
             if out:
                 types = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
