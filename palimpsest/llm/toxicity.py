@@ -6,7 +6,7 @@ window of a text is compressed with each (followed by a fixed carrier line that
 hold): its toxic length is the longer of the two, its ordinary length the shortest of the three. A
 window that all toxic dictionaries shorten and no ordinary one does is evidence. Windows are single
 words, which place the evidence exactly, and runs of eight words, which also see phrases of ordinary
-words.
+words and are compressed with one dictionary of each side alone.
 
 Pairs of lengths have log-likelihood ratios, measured on labelled texts that no dictionary was
 trained on. A text's score is a logistic function, fitted on the same texts, of the sums of these.
@@ -43,7 +43,7 @@ _CARRIER = "the quick brown fox jumps over the lazy dog while many windows are m
 _T_BINS, _O_BINS, _RUN_LOW, _RUN_BINS = 24, 30, -16, 48
 _RUN, _STRIDE = 8, 8
 _CELLS = _T_BINS * _O_BINS + _RUN_BINS
-_MEMO = 200_000
+_MEMO = 400_000
 
 
 def words(text: str) -> list[str]:
@@ -57,15 +57,15 @@ def runs(w: list[str]) -> list[str]:
 
 
 def _parameters() -> zstandard.ZstdCompressionParameters:
-    return zstandard.ZstdCompressionParameters(window_log=18, hash_log=16, chain_log=16, search_log=6, min_match=5, strategy=zstandard.STRATEGY_BTLAZY2, write_content_size=0, write_dict_id=0)
+    return zstandard.ZstdCompressionParameters(window_log=18, hash_log=16, chain_log=16, search_log=4, min_match=5, strategy=zstandard.STRATEGY_LAZY2, write_content_size=0, write_dict_id=0)
 
 
 class Distance:
     """Maps windows to cells of their compressed lengths beyond the carrier's."""
 
     def __init__(self, toxic: list[bytes], ordinary: list[bytes]):
-        self._toxic, self._ordinary = ([self._length(c) for c in side] for side in (toxic, ordinary))
         self._memo: dict[str, int] = {}
+        self._toxic, self._ordinary = ([self._length(c) for c in side] for side in (toxic, ordinary))
 
     @staticmethod
     def _length(content: bytes):
@@ -90,7 +90,9 @@ class Distance:
         return at
 
     def run_cell(self, run: str) -> int:
-        t, o = self.lengths(run)
+        """By one dictionary of each side: what several tell apart in single words evens out in a run."""
+        data = f" {run} {_CARRIER}".encode()
+        t, o = self._toxic[0](data), self._ordinary[0](data)
         return _T_BINS * _O_BINS + min(max(o - t - _RUN_LOW, 0), _RUN_BINS - 1)
 
     def counts(self, text: str) -> np.ndarray:
@@ -101,6 +103,18 @@ class Distance:
         return np.bincount(np.array([*map(self.cell, w), *map(self.run_cell, runs(w))], np.int64), minlength=_CELLS)
 
 
+_LAST: dict[int, Distance] = {}
+
+
+def _distance(model: Model) -> Distance:
+    """The model's distance; a worker keeps that of the last model, with the words it has seen, for its next task."""
+    key = hash((*model.toxic, b"", *model.ordinary))
+    if key not in _LAST:
+        _LAST.clear()
+        _LAST[key] = Distance(model.toxic, model.ordinary)
+    return _LAST[key]
+
+
 @dataclass
 class Model:
     toxic: list[bytes]
@@ -243,7 +257,7 @@ def score_toxicity(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_
     """
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        distance = Distance(model.toxic, model.ordinary)
+        distance = _distance(model)
         for batch in batches:
             for part in row_slices(batch, 1):
                 p = model.score(np.array([distance.counts(x or "") for x in part.column(1).to_pylist()]))
@@ -264,7 +278,7 @@ def drop_toxic(df: DataFrame, model: Model, *, text_col: str = "text", threshold
     at = df.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        distance = Distance(model.toxic, model.ordinary)
+        distance = _distance(model)
         for batch in batches:
             if batch.num_rows:
                 texts = pc.cast(batch.column(at), pa.string()).to_pylist()

@@ -400,7 +400,7 @@ def test_toxicity_lengths_and_scores_against_plain_python():
             t, o = max(length(d, x) for d in model.toxic), min(length(d, x) for d in model.ordinary)
             counts[min(max(t, 0), 23) * 30 + min(max(o, 0), 29)] += 1
         for x in [" ".join(w[i : i + 8]) for i in range(0, len(w), 8)]:
-            counts[720 + min(max(min(length(d, x) for d in model.ordinary) - max(length(d, x) for d in model.toxic) + 16, 0), 47)] += 1
+            counts[720 + min(max(length(model.ordinary[0], x) - length(model.toxic[0], x) + 16, 0), 47)] += 1
         found = toxicity.Distance(model.toxic, model.ordinary).counts(text)
         assert {i: n for i, n in enumerate(found.tolist()) if n} == dict(counts)
     scores = model.score(np.array([toxicity.Distance(model.toxic, model.ordinary).counts(x) for x in (*toxic, *ordinary)]))
