@@ -47,7 +47,7 @@ def bit_set(df: DataFrame, column: str) -> np.ndarray:
     """A power of two of bits, of which those that the hashes in ``column`` fall on are set.
 
     Executors put them together in pieces of 8 kB, which are all that the driver gathers: 128 MB at
-    most, however many rows there are. ``df`` is read twice, the first time to be counted.
+    most, however many rows there are. ``df`` should be settled: it is read twice, the first time to be counted.
     """
     n = min(max(LEAST_BITS, 1 << (8 * df.count()).bit_length()), MOST_BITS)
     bit = F.pmod(F.col(column), F.lit(n))

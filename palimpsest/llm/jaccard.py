@@ -324,7 +324,8 @@ def jaccard_classes(df: DataFrame, *, k: int = 5, threshold: tuple[int, int] = (
     every = _cells(rows, order, k, num, den)
     # Copies that are too many to broadcast are taken out once only few cells are left. Half a hash is
     # all that the bit set reads; cells that it takes for recurring ones make regions of one document.
-    recurring = (single(every) if few else every).groupBy("cell").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    recurring = (single(every) if few else every).groupBy("cell").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("cell")
+    recurring = settle(recurring)
     cells = settle(single(_cells(rows, order, k, num, den, sc.broadcast(bit_set(recurring, "cell")))).select("cell", "doc_id", "n", "home"))
     marks = settle(_marks(rows, settle(cells.where("home").select("doc_id").distinct()), k))
 

@@ -289,7 +289,8 @@ def _without_copies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _pieces(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """For each wanted (doc_id, pair, lo, hi): the words' 32-bit hashes from lo to hi."""
-    bits = rows.sparkSession.sparkContext.broadcast(bit_set(wanted.select(F.xxhash64("doc_id").alias("hash")), "hash"))
+    counted = settle(wanted.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
+    bits = rows.sparkSession.sparkContext.broadcast(bit_set(counted.select(F.xxhash64("doc_id").alias("hash")), "hash"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -300,7 +301,7 @@ def _pieces(rows: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([low[a:b].tobytes() for a, b in zip(w.first[:-1], w.first[1:], strict=True)], pa.binary())], ["doc_id", "w"])
 
     read_ = rows.withColumn("hash", F.xxhash64("doc_id")).mapInArrow(read, "doc_id long, w binary")
-    hot = settle(hot_keys(settle(wanted.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))), ["doc_id"], "n"))
+    hot = settle(hot_keys(counted, ["doc_id"], "n"))
     return dealt_join(wanted, read_, ["doc_id"], hot, F.xxhash64("x", "y", "c")).select("x", "y", "c", F.expr("substring(w, lo * 4 + 1, (hi - lo) * 4)").alias("w"), "lo")
 
 
