@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
+#: What a worker keeps between the tasks of one operator; splitting texts for another one lets go of it.
+KEPT: dict = {}
 _SEGMENT = 1 << 16
 _BASE = 0x9E3779B97F4A7C15
 
@@ -98,6 +100,7 @@ class Words:
 
 def words(texts: pa.Array, separators: np.ndarray, *, hashes: bool = True) -> Words:
     """Split every text at separator bytes; A-Z are lower-cased. A null is an empty text."""
+    KEPT.clear()
     if texts.null_count:
         texts = texts.fill_null("")
     off = _offsets(texts)

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm._kernel import row_slices
+from palimpsest.llm._kernel import KEPT, row_slices
 
 #: Labelled rows of each class that a model is fitted on, at most; those with the lowest hashes.
 MAX_TOXIC, MAX_ORDINARY = 2000, 4000
@@ -43,6 +43,7 @@ _CARRIER = "the quick brown fox jumps over the lazy dog while many windows are m
 _T_BINS, _O_BINS, _RUN_LOW, _RUN_BINS = 24, 30, -16, 48
 _RUN, _STRIDE = 8, 8
 _CELLS = _T_BINS * _O_BINS + _RUN_BINS
+#: Words whose cells are kept: two halves, of which the older goes when the newer is full.
 _MEMO = 400_000
 
 
@@ -64,7 +65,7 @@ class Distance:
     """Maps windows to cells of their compressed lengths beyond the carrier's."""
 
     def __init__(self, toxic: list[bytes], ordinary: list[bytes]):
-        self._memo: dict[str, int] = {}
+        self._memo, self._older = {}, {}
         self._toxic, self._ordinary = ([self._length(c) for c in side] for side in (toxic, ordinary))
 
     @staticmethod
@@ -83,10 +84,13 @@ class Distance:
     def cell(self, word: str) -> int:
         at = self._memo.get(word)
         if at is None:
-            if len(self._memo) >= _MEMO:
-                self._memo.clear()
-            t, o = self.lengths(word)
-            at = self._memo[word] = min(max(t, 0), _T_BINS - 1) * _O_BINS + min(max(o, 0), _O_BINS - 1)
+            at = self._older.get(word)
+            if at is None:
+                t, o = self.lengths(word)
+                at = min(max(t, 0), _T_BINS - 1) * _O_BINS + min(max(o, 0), _O_BINS - 1)
+            if len(self._memo) >= _MEMO // 2:
+                self._memo, self._older = {}, self._memo
+            self._memo[word] = at
         return at
 
     def run_cell(self, run: str) -> int:
@@ -103,16 +107,13 @@ class Distance:
         return np.bincount(np.array([*map(self.cell, w), *map(self.run_cell, runs(w))], np.int64), minlength=_CELLS)
 
 
-_LAST: dict[int, Distance] = {}
-
-
 def _distance(model: Model) -> Distance:
     """The model's distance; a worker keeps that of the last model, with the words it has seen, for its next task."""
     key = hash((*model.toxic, b"", *model.ordinary))
-    if key not in _LAST:
-        _LAST.clear()
-        _LAST[key] = Distance(model.toxic, model.ordinary)
-    return _LAST[key]
+    if key not in KEPT:
+        KEPT.clear()
+        KEPT[key] = Distance(model.toxic, model.ordinary)
+    return KEPT[key]
 
 
 @dataclass
