@@ -8,11 +8,17 @@ executor: the tables come from fixed seeds.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library, which has no such call
+    _LIBC = None
+
 U64 = np.uint64
 #: What a worker keeps between the tasks of one operator; splitting texts for another one lets go of it.
 KEPT: dict = {}
@@ -68,6 +74,13 @@ def _powers(base: int, n: int) -> np.ndarray:
 _POW, _INV = _powers(_BASE, 2 * _SEGMENT), _powers(pow(_BASE, -1, 1 << 64), 2 * _SEGMENT)
 
 
+def release() -> None:
+    """Give memory that is free back to the system: a worker lives on for other operators."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def row_slices(batch: pa.RecordBatch, column: int, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of at most ``max_bytes`` of text, or one longer row."""
     n = batch.num_rows
@@ -79,6 +92,7 @@ def row_slices(batch: pa.RecordBatch, column: int, max_bytes: int = 1 << 20) ->
         j = max(i + 1, int(np.searchsorted(off, off[i] + max_bytes, "right")) - 1)
         yield batch.slice(i, j - i)
         i = j
+    release()
 
 
 def _offsets(arr: pa.Array) -> np.ndarray:

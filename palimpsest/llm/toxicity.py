@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm._kernel import KEPT, row_slices
+from palimpsest.llm._kernel import KEPT, release, row_slices
 
 #: Labelled rows of each class that a model is fitted on, at most; those with the lowest hashes.
 MAX_TOXIC, MAX_ORDINARY = 2000, 4000
@@ -285,5 +285,8 @@ def drop_toxic(df: DataFrame, model: Model, *, text_col: str = "text", threshold
                 texts = pc.cast(batch.column(at), pa.string()).to_pylist()
                 p = model.score(np.array([distance.counts(x or "") for x in texts]))
                 yield batch.filter(pa.array(p < threshold))
+        # In a pipeline other operators come next, in the same workers.
+        KEPT.clear()
+        release()
 
     return df.mapInArrow(keep, df.schema)
