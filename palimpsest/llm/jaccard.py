@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm._graph import components
-from palimpsest.llm._kernel import U64, distinct_by_row, list_array, mix, row_slices, shingles, space_separators, words
+from palimpsest.llm._kernel import U64, distinct_by_row, list_array, mix, release, row_slices, shingles, space_separators, words
 from palimpsest.llm._util import BROADCAST_IDS, among, bit_set, fresh, in_bit_set, settle
 
 #: Entries of the list of common shingles, at most, and how often one must occur among CHUNK to be put forward.
@@ -57,9 +57,13 @@ def common_shingles(rows: DataFrame, k: int) -> np.ndarray:
         held, n = [], 0
 
         def said() -> pa.RecordBatch:
-            values, times = np.unique(np.concatenate(held), return_counts=True)
-            often = times >= LEAST_COMMON
-            return pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(times[often])], ["s", "n"])
+            # Sorted in place: few hashes occur often, so that no table of all of them is needed.
+            values = np.concatenate(held)
+            held.clear()
+            values.sort()
+            often = np.unique(values[LEAST_COMMON - 1 :][values[LEAST_COMMON - 1 :] == values[: 1 - LEAST_COMMON]])
+            times = np.searchsorted(values, often, "right") - np.searchsorted(values, often, "left")
+            return pa.RecordBatch.from_arrays([pa.array(often.view(np.int64)), pa.array(times)], ["s", "n"])
 
         for batch in batches:
             for part in row_slices(batch, 1):
@@ -68,9 +72,10 @@ def common_shingles(rows: DataFrame, k: int) -> np.ndarray:
                 n += len(values)
                 if n >= CHUNK:
                     yield said()
-                    held, n = [], 0
+                    n = 0
         if n:
             yield said()
+        release()
 
     counted = rows.mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
     top = counted.orderBy(F.desc("n"), "s").limit(COMMON).toPandas()
