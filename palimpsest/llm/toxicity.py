@@ -19,7 +19,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import groupby
+from itertools import chain, groupby, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,8 @@ MAX_CHARS = 24_000_000
 N_TOXIC, N_ORDINARY, DICTIONARY, SHARE = 2, 3, 65_536, 4
 
 _WORD = re.compile(r"[^\W\d_]+")
+#: Latin-1 with a space for every byte that is no letter.
+_SPACED = bytes(b if _WORD.match(chr(b)) else 32 for b in range(256))
 _CARRIER = "the quick brown fox jumps over the lazy dog while many windows are measured; "
 #: Cells of single words (toxic and ordinary length) and of runs of words (difference of lengths).
 _T_BINS, _O_BINS, _RUN_LOW, _RUN_BINS = 24, 30, -16, 48
@@ -45,11 +47,17 @@ _RUN, _STRIDE = 8, 8
 _CELLS = _T_BINS * _O_BINS + _RUN_BINS
 #: Words whose cells are kept: two halves, of which the older goes when the newer is full.
 _MEMO = 400_000
+#: Texts are counted together up to this many characters, or one longer text, and windows compressed together.
+_CHARS, _WINDOWS = 1 << 20, 4096
 
 
 def words(text: str) -> list[str]:
-    """The words of a text, lower-cased, in order."""
-    return _WORD.findall(text.lower())
+    """The words of a text, its longest runs of letters, lower-cased, in order."""
+    text = text.lower()
+    try:
+        return text.encode("latin-1").translate(_SPACED).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return _WORD.findall(text)
 
 
 def runs(w: list[str]) -> list[str]:
@@ -74,37 +82,64 @@ class Distance:
         d.precompute_compress(compression_params=_parameters())
         compress = zstandard.ZstdCompressor(compression_params=_parameters(), dict_data=d).compress
         carrier = len(compress(_CARRIER.encode()))
-        return lambda data: len(compress(data)) - carrier
-
-    def lengths(self, window: str) -> tuple[int, int]:
-        """(toxic, ordinary): the longest length by a toxic dictionary, the shortest by an ordinary one."""
-        data = f" {window} {_CARRIER}".encode()
-        return max(f(data) for f in self._toxic), min(f(data) for f in self._ordinary)
-
-    def cell(self, word: str) -> int:
-        at = self._memo.get(word)
-        if at is None:
-            at = self._older.get(word)
-            if at is None:
-                t, o = self.lengths(word)
-                at = min(max(t, 0), _T_BINS - 1) * _O_BINS + min(max(o, 0), _O_BINS - 1)
+        return lambda data: np.fromiter(map(len, map(compress, data)), np.int64, len(data)) - carrier
+
+    @staticmethod
+    def _lengths(by: list, windows: list[str]) -> np.ndarray:
+        """A row for each dictionary. They take turns of many windows, so that the tables of one stay in the processor's cache."""
+        out = np.empty((len(by), len(windows)), np.int64)
+        for i in range(0, len(windows), _WINDOWS):
+            data = [f" {x} {_CARRIER}".encode() for x in windows[i : i + _WINDOWS]]
+            for row, length in zip(out, by, strict=True):
+                row[i : i + len(data)] = length(data)
+        return out
+
+    def _word_cells(self, w: list[str]) -> np.ndarray:
+        """By the longest length of a toxic dictionary and the shortest of an ordinary one."""
+        cells = np.fromiter(map(self._memo.get, w, repeat(-1)), np.int64, len(w))
+        absent = np.flatnonzero(cells < 0)
+        rest = [w[i] for i in absent.tolist()]
+        found = {x: self._older.get(x) for x in dict.fromkeys(rest)}
+        unseen = [x for x, at in found.items() if at is None]
+        t, o = self._lengths(self._toxic, unseen).max(0), self._lengths(self._ordinary, unseen).min(0)
+        found.update(zip(unseen, (np.clip(t, 0, _T_BINS - 1) * _O_BINS + np.clip(o, 0, _O_BINS - 1)).tolist(), strict=True))
+        for x, at in found.items():
             if len(self._memo) >= _MEMO // 2:
                 self._memo, self._older = {}, self._memo
-            self._memo[word] = at
-        return at
+            self._memo[x] = at
+        cells[absent] = [found[x] for x in rest]
+        return cells
 
-    def run_cell(self, run: str) -> int:
+    def _run_cells(self, r: list[str]) -> np.ndarray:
         """By one dictionary of each side: what several tell apart in single words evens out in a run."""
-        data = f" {run} {_CARRIER}".encode()
-        t, o = self._toxic[0](data), self._ordinary[0](data)
-        return _T_BINS * _O_BINS + min(max(o - t - _RUN_LOW, 0), _RUN_BINS - 1)
+        place = {x: i for i, x in enumerate(dict.fromkeys(r))}
+        t, o = self._lengths([self._toxic[0], self._ordinary[0]], [*place])
+        cells = _T_BINS * _O_BINS + np.clip(o - t - _RUN_LOW, 0, _RUN_BINS - 1)
+        return cells[np.fromiter(map(place.__getitem__, r), np.int64, len(r))]
 
     def counts(self, text: str) -> np.ndarray:
         """How many windows of ``text`` fall into each cell; none without dictionaries."""
+        return self.counts_of([text])[0]
+
+    def counts_of(self, texts: list[str]) -> np.ndarray:
+        """The counts of each text, a row for each."""
+        out = np.zeros((len(texts), _CELLS), np.int64)
         if not self._toxic:
-            return np.zeros(_CELLS, np.int64)
-        w = words(text)
-        return np.bincount(np.array([*map(self.cell, w), *map(self.run_cell, runs(w))], np.int64), minlength=_CELLS)
+            return out
+        i = 0
+        while i < len(texts):
+            j, chars = i + 1, len(texts[i])
+            while j < len(texts) and chars + len(texts[j]) <= _CHARS:
+                chars += len(texts[j])
+                j += 1
+            split = [words(x) for x in texts[i:j]]
+            at = np.arange(0, (j - i) * _CELLS, _CELLS)
+            cells = []
+            for windows, find in ((split, self._word_cells), ([runs(w) for w in split], self._run_cells)):
+                cells.append(find([*chain.from_iterable(windows)]) + np.repeat(at, [*map(len, windows)]))
+            out[i:j] = np.bincount(np.concatenate(cells), minlength=(j - i) * _CELLS).reshape(j - i, _CELLS)
+            i = j
+        return out
 
 
 def _distance(model: Model) -> Distance:
@@ -153,7 +188,7 @@ class Model:
 
     def _calibrate(self, toxic: list[str], ordinary: list[str]) -> None:
         distance = Distance(self.toxic, self.ordinary)
-        t, o = (np.array([distance.counts(x) for x in side]) for side in (toxic, ordinary))
+        t, o = (distance.counts_of(side) for side in (toxic, ordinary))
         self.ratio = np.zeros(_CELLS)
         for part in (slice(_T_BINS * _O_BINS), slice(_T_BINS * _O_BINS, _CELLS)):
             a, b = t[:, part].sum(0), o[:, part].sum(0)
@@ -261,7 +296,7 @@ def score_toxicity(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_
         distance = _distance(model)
         for batch in batches:
             for part in row_slices(batch, 1):
-                p = model.score(np.array([distance.counts(x or "") for x in part.column(1).to_pylist()]))
+                p = model.score(distance.counts_of([x or "" for x in part.column(1).to_pylist()]))
                 ids = part.column(0)
                 held = [d is not None and zlib.crc32(str(d).encode()) % 5 == 0 for d in ids.to_pylist()]
                 yield pa.RecordBatch.from_arrays([ids, pa.array(held), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
@@ -283,7 +318,7 @@ def drop_toxic(df: DataFrame, model: Model, *, text_col: str = "text", threshold
         for batch in batches:
             if batch.num_rows:
                 texts = pc.cast(batch.column(at), pa.string()).to_pylist()
-                p = model.score(np.array([distance.counts(x or "") for x in texts]))
+                p = model.score(distance.counts_of([x or "" for x in texts]))
                 yield batch.filter(pa.array(p < threshold))
         # In a pipeline other operators come next, in the same workers.
         KEPT.clear()

@@ -407,6 +407,40 @@ def test_toxicity_lengths_and_scores_against_plain_python():
     assert (scores[:40] >= 0.5).mean() > 0.9 and (scores[40:] < 0.5).mean() > 0.9
 
 
+def test_toxicity_measures_each_window_of_many_texts_once(monkeypatch):
+    dictionary, calls, compressor = " ".join(VOCABULARY[:300]).encode(), [], toxicity.zstandard.ZstdCompressor
+
+    class Counting:
+        def __init__(self, **options):
+            self._inner = compressor(**options)
+
+        def compress(self, data):
+            calls.append(data)
+            return self._inner.compress(data)
+
+    monkeypatch.setattr(toxicity.zstandard, "ZstdCompressor", Counting)
+    distance = toxicity.Distance([dictionary[:900], dictionary[900:1800]], [dictionary[i : i + 900] for i in (0, 700, 1400)])
+    calls.clear()
+    line = " ".join(VOCABULARY[:8])
+    assert distance.counts(" ".join([line] * 50)).sum() == 50 * 8 + 50 and len(calls) == 5 * 8 + 2
+    # In whatever groups, with whatever is kept: the same as one text by itself.
+    r = random.Random(5)
+    texts = [" ".join(r.choice([*VOCABULARY, "größer", "слово", "“x”", "a1b_c", "İx"]) for _ in range(r.choice([0, 1, 7, 8, 9, 300]))) for _ in range(60)]
+    alone = [toxicity.Distance([dictionary[:900], dictionary[900:1800]], [dictionary[i : i + 900] for i in (0, 700, 1400)]).counts(x) for x in texts]
+    for chars, windows, memo in ((1, 3, 4), (500, 7, 40), (1 << 20, 4096, 400_000)):
+        monkeypatch.setattr(toxicity, "_CHARS", chars)
+        monkeypatch.setattr(toxicity, "_WINDOWS", windows)
+        monkeypatch.setattr(toxicity, "_MEMO", memo)
+        assert (distance.counts_of(texts) == np.array(alone)).all()
+    assert distance.counts_of([]).shape == (0, toxicity._CELLS)
+
+
+def test_toxicity_words_are_runs_of_letters():
+    for low in range(0, 0x30000, 256):
+        text = "".join(f"A{c}b 1{c}" for c in map(chr, range(low, low + 256)))
+        assert toxicity.words(text) == re.findall(r"[^\W\d_]+", text.lower())
+
+
 def test_toxicity_edges(spark):
     assert toxicity.Model.fit(["a b c"] * 50, ["d e f"] * 50).toxic == []  # near copies are one text
     assert toxicity._sample("a a a b. " + "c d e f g h i j " * 5).startswith(b"a b c d")
