@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.llm._kernel import release
+
 #: Bits of a bit set over hashes: eight for each counted row, within these bounds. Above, it tells less, never wrong.
 LEAST_BITS, MOST_BITS = 1 << 26, 1 << 30
 
@@ -31,6 +36,36 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release_driver(spark: SparkSession) -> bool:
+    """Give memory of the driver that is free back to the system, as many short jobs leave much of it.
+
+    Python's objects go first, which hold some of the JVM's: plans, checkpoints and broadcasts that are
+    no longer needed. What the JVM frees outside of its heap goes back where it can be asked for that
+    (Linux, Java 17.0.9 and later); returns if it could.
+    """
+    gc.collect()
+    release()
+    jvm = spark.sparkContext._jvm
+    jvm.System.gc()
+
+    def array(kind, *items):
+        out = spark.sparkContext._gateway.new_array(kind, len(items))
+        for i, item in enumerate(items):
+            out[i] = item
+        return out
+
+    try:
+        beans = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        # The server's class is not public, so that its method is called as that of the interface.
+        kinds = ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")
+        call = jvm.Class.forName("javax.management.MBeanServer").getMethod("invoke", array(jvm.Class, *map(jvm.Class.forName, kinds)))
+        name = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        call.invoke(beans, array(jvm.Object, name, "systemTrimNativeHeap", array(jvm.Object), array(jvm.String)))
+    except Py4JError:
+        return False
+    return True
+
+
 def fresh(taken: list[str], *wanted: str) -> list[str]:
     """Column names like ``wanted`` that clash with none of ``taken`` (case-insensitively)."""
     used = {c.lower() for c in taken}

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm._graph import components
 from palimpsest.llm._kernel import U64, distinct_by_row, list_array, mix, release, row_slices, shingles, space_separators, words
-from palimpsest.llm._util import BROADCAST_IDS, among, bit_set, fresh, in_bit_set, settle
+from palimpsest.llm._util import BROADCAST_IDS, among, bit_set, fresh, in_bit_set, release_driver, settle
 
 #: Entries of the list of common shingles, at most, and how often one must occur among CHUNK to be put forward.
 COMMON, LEAST_COMMON, CHUNK = 1 << 17, 3, 1 << 22
@@ -313,7 +313,9 @@ def jaccard_classes(df: DataFrame, *, k: int = 5, threshold: tuple[int, int] = (
     """
     num, den = threshold
     rows = _texts(df, id_col, text_col)
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    release_driver(spark)
     order = sc.broadcast(Order(common_shingles(rows, k)))
     described = settle(_described(rows, k))
 
@@ -333,6 +335,7 @@ def jaccard_classes(df: DataFrame, *, k: int = 5, threshold: tuple[int, int] = (
     recurring = settle(recurring)
     cells = settle(single(_cells(rows, order, k, num, den, sc.broadcast(bit_set(recurring, "cell")))).select("cell", "doc_id", "n", "home"))
     marks = settle(_marks(rows, settle(cells.where("home").select("doc_id").distinct()), k))
+    release_driver(spark)
 
     # Each document is held against one pivot, the least in its homes.
     homes = cells.where("home")
@@ -341,6 +344,7 @@ def jaccard_classes(df: DataFrame, *, k: int = 5, threshold: tuple[int, int] = (
     pairs = homes.join(pivots, "cell").where(near).groupBy(F.col("doc_id").alias("y")).agg(F.min("x").alias("x")).select("x", "y")
     links = settle(_verified(pairs, rows, marks, k, num, den))
     classes = settle(components(links))
+    release_driver(spark)
 
     def placed(members: DataFrame) -> DataFrame:
         known = classes.select(F.col("node").alias("doc_id"), "component")
@@ -360,6 +364,7 @@ def jaccard_classes(df: DataFrame, *, k: int = 5, threshold: tuple[int, int] = (
             break
         links = settle(links.unionByName(_verified(pairs, rows, marks, k, num, den)))
         classes = settle(components(links))
+        release_driver(spark)
         more = settle(compared.where("more").select("region").distinct())
         if more.isEmpty():
             break
